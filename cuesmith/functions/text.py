@@ -120,8 +120,9 @@ def drama_score(text: Column, words: tuple[str, ...] = DRAMA, marks: str = "!！
 
 
 def preview(text: Column, head: int = 24, tail: int = 6) -> Column:
-    short = F.length(text) <= head + tail
-    return F.when(short, text).otherwise(F.concat(F.substring(text, 1, head), F.lit("…"), F.right(text, F.lit(tail))))
+    """Line feeds as blanks; more than head + tail + 1 characters lose their middle."""
+    line = F.regexp_replace(F.trim(text), r"\r?\n", " ")
+    return F.when(F.length(line) <= head + tail + 1, line).otherwise(F.concat(F.substring(line, 1, head), F.lit("…"), F.right(line, F.lit(tail))))
 
 
 def natural_key(name: Column) -> Column:

@@ -155,14 +155,16 @@ def _candidates_of_bucket(part: int, whole: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
-    """Pairs that link: overlaps are counted in each vertical fragment and summed."""
-    pieces = sets.select("key", "n", F.posexplode("pieces").alias("piece", "tokens"))
-    a = pieces.select(F.col("key").alias("a"), F.col("n").alias("na"), "piece", F.col("tokens").alias("ta"))
-    b = pieces.select(F.col("key").alias("b"), F.col("n").alias("nb"), "piece", F.col("tokens").alias("tb"))
-    partial = pairs.join(a, "a").join(b, ["b", "piece"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("c"))
-    summed = partial.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-    return summed.where(F.col("c") * whole >= (F.col("na") + F.col("nb") - F.col("c")) * part).select("a", "b")
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, c): overlaps counted in each vertical fragment and summed."""
+    a = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("pieces").alias("pa"))
+    b = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pieces").alias("pb"))
+    each = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.aggregate(each, F.lit(0), lambda s, x: s + x).cast("long").alias("c"))
+
+
+def _linked(overlaps: DataFrame, part: int, whole: int) -> DataFrame:
+    return overlaps.where(F.col("c") * whole >= (F.col("na") + F.col("nb") - F.col("c")) * part).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -192,26 +194,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .applyInPandas(_candidates_of_bucket(part, whole), "key long, n long, shared long, prefix array<long>, pieces array<array<long>>")
     )
     posts = cut(sets.select("key", "n", "shared", F.posexplode("prefix").alias("rank", "token")))
-    hubs = posts.groupBy("token").agg(F.min("key").alias("hub"), F.max("key").alias("other")).where("hub <> other")
-    met = posts.join(hubs, "token").where("key <> hub").groupBy("key", "hub").count()
-    first = met.groupBy("key").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")).select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    links = cut(_verified(first, sets, part, whole))
+    # A list's hub is its set with the fewest shingles of its own: of near copies, the one that the others were made from.
+    hubs = posts.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("shared")).alias("lone"), "key")).alias("least"), F.count("*").alias("c")).where("c > 1").select("token", F.col("least.key").alias("hub"), F.col("least.lone").alias("lone"))
+    met = posts.join(hubs, "token").where("key <> hub").groupBy("key", "hub").agg(F.first("lone").alias("lone"), F.count("*").alias("count"))
+    first = met.groupBy("key").agg(F.max_by("hub", F.struct(-F.col("lone"), "count", "hub")).alias("hub")).select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    counted = cut(_overlaps(first, sets))
+    links = _linked(counted, part, whole)
     roots = components(links)
-    known = posts.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    # Each set's pivot is the hub that it was counted against; a hub without one is its own.
+    pivots = counted.select(F.col("a").alias("key"), F.col("b").alias("pivot"), F.col("c").alias("held"))
+    known = posts.join(roots.withColumnRenamed("node", "key"), "key", "left").join(pivots, "key", "left")
+    known = known.select("token", "key", "n", "shared", "rank", F.coalesce("root", "key").alias("root"), F.coalesce("pivot", "key").alias("pivot"), F.coalesce("held", "shared").alias("held"))
     split = known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     known = known.join(split, "token", "left_semi")
-    x = known.select("token", *[F.col(c).alias(f"x_{c}") for c in ("key", "n", "shared", "rank", "root")])
-    y = known.select("token", *[F.col(c).alias(f"y_{c}") for c in ("key", "n", "shared", "rank", "root")])
+    names = ("key", "n", "shared", "rank", "root", "pivot", "held")
+    x = known.select("token", *[F.col(c).alias(f"x_{c}") for c in names])
+    y = known.select("token", *[F.col(c).alias(f"y_{c}") for c in names])
+    # Upper bounds of a pair's overlap: what both have before and after this token of the order; and, of one
+    # pivot, what both have within it and what both share outside it.
     before, after = F.least("x_rank", "y_rank"), F.least(F.col("x_shared") - F.col("x_rank"), F.col("y_shared") - F.col("y_rank"))
+    within, outside = F.least("x_held", "y_held"), F.least(F.col("x_shared") - F.col("x_held"), F.col("y_shared") - F.col("y_held"))
+    most = F.when(F.col("x_pivot") == F.col("y_pivot"), F.least(before + after, within + outside)).otherwise(before + after)
     rest = (
         x.join(y, "token")
         .where("x_root < y_root")
         .where((F.col("x_n") * whole >= F.col("y_n") * part) & (F.col("y_n") * whole >= F.col("x_n") * part))
-        .where((before + after) * (whole + part) >= (F.col("x_n") + F.col("y_n")) * part)
+        .where(most * (whole + part) >= (F.col("x_n") + F.col("y_n")) * part)
         .select(F.col("x_key").alias("a"), F.col("y_key").alias("b"))
         .distinct()
     )
-    links = links.unionByName(_verified(rest, sets, part, whole))
+    links = links.unionByName(_linked(_overlaps(rest, sets), part, whole))
     roots = components(links).withColumnRenamed("node", "key")
     joined = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -7,7 +7,9 @@ slots; a piece takes the slot that has its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +23,7 @@ SEQUENCE = 4096
 #: The id that ends each document.
 END = 1
 #: Entries of each of a task's two generations of remembered words.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 
 
 class WordIds:
@@ -29,6 +31,7 @@ class WordIds:
     vocabulary drops white space, so a text's ids are its words' ids in turn."""
 
     def __init__(self, path: str | None = None):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism here
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -36,26 +39,27 @@ class WordIds:
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
-    def word(self, word: str) -> bytes:
-        found = self.young.get(word)
-        if found is not None:
-            return found
-        found = self.old.get(word)
-        if found is None:
-            if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():
-                found = self.word(word[:-1]) + self.word(word[-1])  # a mark after a letter is always a token of its own
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids; words not seen lately are encoded in one call."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.young) >= REMEMBERED:
+            self.old, self.young = self.young, {"": b""}
+        young, old = self.young, self.old
+        fresh = set().union(*split).difference(young)
+        bases: dict[str, tuple[str, str]] = {}
+        for word in fresh:
+            if word in old:
+                young[word] = old[word]
             else:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-                found = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(word) <= 64:
-            if len(self.young) >= REMEMBERED:
-                self.old, self.young = self.young, {"": b""}
-            self.young[word] = found
-        return found
-
-    def text(self, text: str) -> bytes:
-        seen, miss = self.young.get, self.word
-        return b"".join([seen(w) or miss(w) for w in text.replace("\n", " ").split(" ")])
+                # A mark after a letter is always a token of its own, and case is folded.
+                base, mark = (word[:-1], word[-1]) if len(word) > 1 and word[-1] in ",." and word[-2].isalpha() else (word, "")
+                bases[word] = (base.lower() if base.isascii() else base, mark)
+        wanted = [w for w in {*(b for b, _ in bases.values()), ",", "."} if w not in young]
+        for word, found in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
+            young[word] = array("I", found.ids).tobytes()
+        for word, (base, mark) in bases.items():
+            young[word] = young[base] + young[mark]
+        return [b"".join(map(young.__getitem__, words)) for words in split]
 
 
 @lru_cache(2)
@@ -73,8 +77,8 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, size: int, vocabul
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
                 out: list[list] = [[], [], [], [], []] + [[]] * with_ids
-                for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                    ids = coder.text(text or "") + end
+                for doc, ids in zip(rows.column(0).to_pylist(), coder.texts([t or "" for t in rows.column(1).to_pylist()]), strict=True):
+                    ids += end
                     for piece, k in enumerate(range(0, len(ids), 4 * size)):
                         own = ids[k : k + 4 * size]
                         for column, value in zip(out, (doc, piece, k // 4, len(own) // 4, zlib.crc32(own), own), strict=False):

@@ -21,6 +21,7 @@ RATIOS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.30, "repeat_ratio": 0.15}
 #: Below so many rows a group takes the fences of the whole table.
 LEAST_ROWS = 50
 KLL_K = 400
+SALTS = 32
 
 
 def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -64,7 +65,7 @@ def _ratios(stats: DataFrame) -> DataFrame:
 def _fences(rows: DataFrame, by: list[str]) -> DataFrame:
     """Fences of each group from sketches of the rows that pass the base rules."""
     names = [*RATIOS, "word_length"]
-    sketched = rows.where("not base_failed").groupBy(*by).agg(F.count("*").alias("_rows"), *[F.kll_sketch_agg_double(F.col(n), F.lit(KLL_K)).alias(n) for n in names])
+    sketched = rows.where("not base_failed").groupBy(*by).agg(F.count("*").alias("_rows"), *[F.kll_sketch_agg_double(F.col(n), F.lit(KLL_K)).alias(n) for n in names]).where("_rows > 0")
     q = lambda n, x: F.kll_sketch_get_quantile_double(F.col(n), F.lit(x))
     cols = [(q(n, 0.75) + F.greatest(F.lit(SPREADS) * (q(n, 0.75) - q(n, 0.5)), F.lit(least))).alias(f"{n}_most") for n, least in RATIOS.items()]
     half = F.greatest((q("word_length", 0.75) - q("word_length", 0.25)) / 2, F.lit(0.25))
@@ -94,10 +95,11 @@ def _judge(rows: DataFrame, by: list[str]) -> DataFrame:
 
     rows = cut(rows)
     bounds = ["symbol_ratio_most", "dup_line_ratio_most", "repeat_ratio_most", "word_length_least", "word_length_most"]
-    own = _fences(rows, by).where(F.col("_rows") >= LEAST_ROWS).drop("_rows")
+    # One group may hold a third of all rows: rows are dealt to SALTS parts of their group, and its one row of fences to each.
+    own = _fences(rows, by).where(F.col("_rows") >= LEAST_ROWS).drop("_rows").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)))
     whole = _fences(rows, []).drop("_rows").toDF(*[f"all_{b}" for b in bounds])
-    # One row each for a (language, source) pair: as many as the corpus has sources, and joined by shuffle where that is many.
-    met = rows.join(own, by, "left").join(F.broadcast(whole), how="left")
+    met = rows.join(own, [*by, "_salt"], "left").join(F.broadcast(whole), how="left")
     fence: dict[str, Column] = {b: F.coalesce(F.col(b), F.col(f"all_{b}")) for b in bounds}
     within = (
         (F.col("symbol_ratio") <= fence["symbol_ratio_most"])

@@ -174,10 +174,10 @@ def retry_failed(ledger: DataFrame, only_retryable: bool = True) -> DataFrame:
 
 
 def route_http_error(status_code: Column, attempts: Column, now: Column, base: float = 1.0, cap: float = 30.0, most: int = 5) -> tuple[Column, Column, Column]:
-    """(class, new status, next attempt) of a failed request: client errors but
-    408 and 429 fail; others wait with doubling delays, up to `most` attempts."""
-    kind = F.when(status_code.isin(408, 429), "retryable").when(status_code.between(400, 499), "client_error").when(status_code >= 500, "server_error").otherwise("network")
-    fails = (kind == "client_error") | (attempts >= most)
+    """(class, new status, next attempt) of a failed request: client errors but 429
+    fail; others wait with doubling delays, up to `most` attempts."""
+    kind = F.when(status_code == 429, "retryable_429").when(status_code.between(500, 599), "retryable_5xx").when(status_code.between(400, 499), "client_4xx").otherwise("other")
+    fails = (kind == "client_4xx") | (attempts >= most)
     delay = F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), F.greatest(attempts - 1, F.lit(0))))
     return kind, F.when(fails, "failed").otherwise("retry_wait"), F.when(fails, F.lit(0.0)).otherwise(now + delay)
 

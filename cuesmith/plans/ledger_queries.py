@@ -164,7 +164,7 @@ def recover(spark, sf_dir):
     return op.recover(led, led.select("task_id", F.expr("task_id % 8 = 0").alias("has_output"), F.expr("task_id % 4 < 2").alias("has_speech")))
 
 
-@query("m09_route_http_errors", "SELECT event_id, CASE WHEN c IN (408, 429) THEN 'retryable' WHEN c BETWEEN 400 AND 499 THEN 'client_error' WHEN c >= 500 THEN 'server_error' ELSE 'network' END AS kind, CASE WHEN (c BETWEEN 400 AND 499 AND c NOT IN (408, 429)) OR a >= 5 THEN 'failed' ELSE 'retry_wait' END AS new_status, CASE WHEN (c BETWEEN 400 AND 499 AND c NOT IN (408, 429)) OR a >= 5 THEN 0.0 ELSE 100.0 + least(30.0, pow(2.0, greatest(a - 1, 0))) END AS next_attempt_at FROM (SELECT event_id, 380 + event_id % 150 AS c, event_id % 7 AS a FROM events)")
+@query("m09_route_http_errors", "SELECT event_id, CASE WHEN c = 429 THEN 'retryable_429' WHEN c BETWEEN 500 AND 599 THEN 'retryable_5xx' WHEN c BETWEEN 400 AND 499 THEN 'client_4xx' ELSE 'other' END AS kind, CASE WHEN (c BETWEEN 400 AND 499 AND c <> 429) OR a >= 5 THEN 'failed' ELSE 'retry_wait' END AS new_status, CASE WHEN (c BETWEEN 400 AND 499 AND c <> 429) OR a >= 5 THEN 0.0 ELSE 100.0 + least(30.0, pow(2.0, greatest(a - 1, 0))) END AS next_attempt_at FROM (SELECT event_id, 380 + event_id % 150 AS c, event_id % 7 AS a FROM events)")
 def route_http_errors(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.expr("380 + event_id % 150").alias("c"), F.expr("event_id % 7").alias("a"))
     kind, status, at = op.route_http_error(F.col("c"), F.col("a"), F.lit(100.0))

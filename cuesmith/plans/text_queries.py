@@ -104,7 +104,7 @@ def episodes(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.episode(F.col("c_name"), F.lit(0)).alias("episode"))
 
 
-@query("x25_previews", "SELECT doc_id, CASE WHEN length(text) <= 30 THEN text ELSE substr(text, 1, 24) || '…' || right(text, 6) END AS preview FROM documents")
+@query("x25_previews", "SELECT doc_id, CASE WHEN length(t) <= 31 THEN t ELSE substr(t, 1, 24) || '…' || right(t, 6) END AS preview FROM (SELECT doc_id, regexp_replace(trim(text), '\\r?\\n', ' ', 'g') AS t FROM documents)")
 def previews(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
 
