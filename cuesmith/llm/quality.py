@@ -98,9 +98,9 @@ def _judge(rows: DataFrame, by: list[str]) -> DataFrame:
     # One group may hold a third of all rows: rows are dealt to SALTS parts of their group, and its one row of fences to each.
     own = _fences(rows, by).where(F.col("_rows") >= LEAST_ROWS).drop("_rows").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)))
-    whole = _fences(rows, []).drop("_rows").toDF(*[f"all_{b}" for b in bounds])
-    met = rows.join(own, [*by, "_salt"], "left").join(F.broadcast(whole), how="left")
-    fence: dict[str, Column] = {b: F.coalesce(F.col(b), F.col(f"all_{b}")) for b in bounds}
+    whole = _fences(rows, []).select(F.struct(*bounds)).scalar()  # one row, as a subquery
+    met = rows.join(own, [*by, "_salt"], "left")
+    fence: dict[str, Column] = {b: F.coalesce(F.col(b), whole[b]) for b in bounds}
     within = (
         (F.col("symbol_ratio") <= fence["symbol_ratio_most"])
         & (F.col("dup_line_ratio") <= fence["dup_line_ratio_most"])
