@@ -12,6 +12,7 @@ page's text, without those inside boilerplate elements.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -50,21 +51,25 @@ def _is_boiler(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """Lines as [text, tags, linked characters, path of enclosing elements, boilerplate]."""
+    """Lines as (text, tags, linked characters, innermost block, boilerplate).
+
+    Blocks are numbered as they open; ``above`` and ``tag_of`` have each one's
+    enclosing block and its tag (0: none)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, silent, boilerplate
-        self.path: tuple[int, ...] = ()
-        self.tag_of: dict[int, str] = {}
+        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.open: list[tuple[str, int, bool, bool]] = []  # tag, innermost block, silent, boilerplate
+        self.count: Counter[str] = Counter()  # of open elements by tag
+        self.above, self.tag_of = [0], [""]
         self.text: list[str] = []
-        self.tags = self.linked = self.number = self.links = 0
+        self.tags = self.linked = 0
 
     def flush(self) -> None:
         words = "".join(self.text).split()
         if words:
-            self.lines.append((" ".join(words), self.tags, self.linked, self.path, bool(self.open) and self.open[-1][3]))
+            block, boiler = (self.open[-1][1], self.open[-1][3]) if self.open else (0, False)
+            self.lines.append((" ".join(words), self.tags, self.linked, block, boiler))
         if words or self.tags:
             self.text, self.tags, self.linked = [], 0, 0
 
@@ -80,16 +85,15 @@ class Lines(HTMLParser):
             if tag in ("br", "hr"):
                 self.text.append(" ")
             return
-        if tag == "a":
-            self.links += 1
-        top = self.open[-1] if self.open else ("", 0, False, False)
-        self.number += 1
+        _, block, silent, boiler = self.open[-1] if self.open else ("", 0, False, False)
         # A form inside a boilerplate element is one too; an article's own header holds its title.
-        boiler = top[3] or _is_boiler(tag, attrs) and not (tag == "header" and any(x[0] in ("article", "main") for x in self.open))
-        self.open.append((tag, self.number, top[2] or tag in SILENT, boiler))
+        boiler = boiler or _is_boiler(tag, attrs) and not (tag == "header" and (self.count["article"] or self.count["main"]))
         if tag in BLOCKS:
-            self.path += (self.number,)
-            self.tag_of[self.number] = tag
+            self.above.append(block)
+            self.tag_of.append(tag)
+            block = len(self.above) - 1
+        self.open.append((tag, block, silent or tag in SILENT, boiler))
+        self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -98,11 +102,11 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag in VOID:
+        if tag in VOID or not self.count[tag]:
             return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                if tag in BLOCKS or any(x[0] in BLOCKS for x in self.open[i:]):
+                if self.open[-1][1] != (self.open[i - 1][1] if i else 0):
                     self.flush()
                 self.cut(i)
                 return
@@ -110,24 +114,22 @@ class Lines(HTMLParser):
                 return  # an inline end tag doesn't close a block
 
     def close_to(self, tags: tuple[str, ...], stop: tuple[str, ...]) -> None:
+        if not any(self.count[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] in tags:
                 self.cut(i)
-            elif self.open[i][0] in stop or self.open[i][0] in BLOCKS and self.open[i][0] not in tags:
+            elif self.open[i][0] in stop or self.open[i][0] in BLOCKS:
                 return
 
     def cut(self, at: int) -> None:
-        gone = self.open[at:]
+        self.count.subtract(x[0] for x in self.open[at:])
         del self.open[at:]
-        self.links -= sum(x[0] == "a" for x in gone)
-        blocks = sum(x[0] in BLOCKS for x in gone)
-        if blocks:
-            self.path = self.path[:-blocks]
 
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][2]):
             self.text.append(data)
-            if self.links > 0:
+            if self.count["a"] > 0:
                 self.linked += len(data.strip())
 
 
@@ -172,21 +174,32 @@ def main_text(html: str | None) -> str:
     # Ratios on a log scale: one very long paragraph does not hide the others.
     scores = _smoothed([math.log1p((len(text) - linked) / max(1, tags)) for text, tags, linked, _, _ in lines])
     limit = _threshold(scores)
-    marked = [len(x[0]) - x[2] if s >= limit else 0 for x, s in zip(lines, scores, strict=True)]
-    weight: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    for x, chars in zip(lines, marked, strict=True):
-        for d, element in enumerate(x[3]):
-            weight[element] = weight.get(element, 0) + chars
-            depth[element] = d
-    whole = sum(marked)
+    # Marked text within each block; a block's number is larger than those of the blocks around it.
+    weight = [0] * len(parser.above)
+    for (text, _, linked, block, _), score in zip(lines, scores, strict=True):
+        weight[block] += len(text) - linked if score >= limit else 0
+    whole = sum(weight)
+    for block in range(len(weight) - 1, 0, -1):
+        weight[parser.above[block]] += weight[block]
+    depth = [0] * len(weight)
+    for block in range(1, len(depth)):
+        depth[block] = depth[parser.above[block]] + 1
+    used = {x[3] for x in lines}
+    for block in range(len(weight) - 1, 0, -1):
+        if block in used:
+            used.add(parser.above[block])
     # The innermost container that still holds nearly all marked text, or the article that it is in.
-    fit = [e for e in weight if weight[e] >= 0.7 * whole and parser.tag_of[e] in REGIONS]
-    region = max(fit, key=lambda e: (depth[e], -e), default=None)
-    if region is not None:
-        path = next(x[3][: depth[region] + 1] for x in lines if region in x[3])
-        region = next((e for tag in ("article", "main") for e in reversed(path) if parser.tag_of[e] == tag), region)
-    return "\n".join(x[0] for x in lines if region is None or region in x[3])
+    fit = [e for e in used if e and weight[e] >= 0.7 * whole and parser.tag_of[e] in REGIONS]
+    region = max(fit, key=lambda e: (depth[e], -e), default=0)
+    around = [region]
+    while around[-1]:
+        around.append(parser.above[around[-1]])
+    region = next((e for tag in ("article", "main") for e in around if parser.tag_of[e] == tag), region)
+    inside = [False] * len(weight)
+    inside[region] = True
+    for block in range(1, len(inside)):
+        inside[block] = inside[block] or inside[parser.above[block]]
+    return "\n".join(x[0] for x in lines if inside[x[3]])
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
