@@ -21,7 +21,7 @@ from .shingles import text_buffer
 CLASSES, EMBED, FILTERS, WINDOW = 48, 12, 12, 256
 WIDTHS = (2, 3, 4)
 LOOK = max(WIDTHS) - 1
-#: The model is fitted on about so many labelled texts of each language, and the first so many characters of each; predictions read whole texts.
+#: The model is fitted on about so many labelled texts of each language, and a passage of so many characters of each, from a place that its id's hash chooses; predictions read whole texts.
 SAMPLE_TEXTS, SAMPLE_CHARS = 600, 1024
 #: At most so many languages are learned, the commonest first.
 LANGUAGES = 64
@@ -159,7 +159,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col("l") == r["l"], F.lit(min(1.0, SAMPLE_TEXTS / r["count"]))).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20)).select("i", F.substring("t", 1, SAMPLE_CHARS).alias("t"), "l")
+    place = F.pmod(F.xxhash64("i", F.lit(1)), F.greatest(F.lit(1), F.length("t") - SAMPLE_CHARS + 1)).cast("int") + 1
+    drawn = rows.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20)).select("i", F.substring(F.col("t"), place, F.lit(SAMPLE_CHARS)).alias("t"), "l")
     sample = drawn.limit(2 * SAMPLE_TEXTS * len(counts)).collect()
     sample = sorted(sample, key=lambda r: (r["i"], r["t"], r["l"]))
     return train([r["t"] for r in sample], [r["l"] for r in sample]) if sample else None
