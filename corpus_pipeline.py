@@ -29,8 +29,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each component stays; of equal rows of one id, one."""
     found = jaccard.jaccard_components(docs)
-    return _only(docs, found.where("doc_id = component_id")).dropDuplicates(["doc_id"])
+    kept = _only(docs, found.where("doc_id <=> component_id")).withColumn("_text", F.xxhash64("text"))
+    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
