@@ -22,6 +22,8 @@ from .shared import cut, parts
 SEQUENCE = 4096
 #: The id that ends each document.
 END = 1
+#: Slots of one stretch of a run.
+STRETCH = 1024
 #: Entries of each of a task's two generations of remembered words.
 REMEMBERED = 500_000
 
@@ -149,6 +151,8 @@ def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ranked = ranked.join(base, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("within"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     runs = spark.createDataFrame(plan_slots(counts, size), "length long, rank long, many long, first long, offset long")
-    steps = F.explode(F.sequence(F.lit(0), F.col("many") - 1))
-    slots = runs.repartition(parts(spark), "length", "rank").withColumn("k", steps).select("length", (F.col("rank") + F.col("k")).alias("rank"), (F.col("first") + F.col("k")).alias("sequence_id"), "offset")
+    # A run of any number of slots is dealt out in stretches and only then written out.
+    stretches = runs.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1, F.lit(STRETCH).cast("long")))).repartition(parts(spark), "length", "rank", "from")
+    steps = F.explode(F.sequence(F.col("from"), F.least(F.col("from") + STRETCH, F.col("many")) - 1))
+    slots = stretches.withColumn("k", steps).select("length", (F.col("rank") + F.col("k")).alias("rank"), (F.col("first") + F.col("k")).alias("sequence_id"), "offset")
     return ranked.join(slots, ["length", "rank"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
