@@ -71,7 +71,7 @@ def test_html_other_layouts():
 
 
 def test_html_odd_rows(spark):
-    rows = [(1, None, None), (2, "u", ""), (3, "u", "<p>a</p>" * 2000), (3, "u", "<p>a</p>" * 2000), (None, "u", "<" * 1000), (5, "u", "<div>" * 3000 + "deep")]
+    rows = [(1, None, None), (2, "u", ""), (3, "u", "<p>a</p>" * 2000), (3, "u", "<p>a</p>" * 2000), (None, "u", "<" * 1000), (5, "u", "<div>" * 100_000 + "deep" + "</section>" * 100_000)]
     out = html_text.extract_pages(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()
     got = collections.Counter((r["page_id"], r["n_chars"]) for r in out)
     assert got[(1, 0)] == got[(2, 0)] == 1 and got[(3, 3999)] == 2 and got[(5, 4)] == 1 and len(out) == 6
@@ -125,6 +125,21 @@ def test_jaccard_on_a_chain_of_edits(spark):
     assert got == plain_components(rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard_of_copies_about_the_threshold(spark, seed):
+    """Copies at about the threshold from one original, whose edits coincide in part."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(70):
+        own = list(base)
+        for at in r.sample(range(2, 118, 5), r.randint(1, 5)):
+            own[at] = f"e{at}" if r.random() < 0.7 else f"e{at}x{r.randrange(3)}"
+        rows.append((i, " ".join(own[r.choice([0, 0, 0, 9]) : len(own) - r.choice([0, 0, 7])])))
+    got = collections.Counter(tuple(x) for x in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == plain_components(rows) and len({c for _, _, c in got}) > 1
+
+
 def test_jaccard_odd_rows(odd, none):
     got = collections.Counter(tuple(r) for r in jaccard.jaccard_components(odd).collect())
     assert got == plain_components([(r[0], r[1]) for r in ODD])
