@@ -9,9 +9,11 @@ candidate pair's overlap is counted fragment by fragment and summed per pair.
 
 Equal sets form one class and are joined as one.  Within a posting list not all
 pairs are made: sets first meet the list's hub, and after components of those
-links are known, only pairs across components remain, which are all tried.  No
-link that could join two components is lost, and no list, candidate or partner
-count is capped.
+links are known, only pairs across components remain, which are all tried unless
+bounds rule them out.  Of two sets counted against one hub, the shingles within
+the hub bound their overlap; if that is too little, they must share a shingle
+outside it and are met there.  No link that could join two components is lost,
+and no list, candidate or partner count is capped.
 """
 
 from __future__ import annotations
@@ -156,17 +158,49 @@ def _candidates_of_bucket(part: int, whole: int):
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, c): overlaps counted in each vertical fragment and summed."""
+    """(a, b, na, nb, c, outside): overlaps counted in each vertical fragment and
+    summed, and those of a's shared shingles that b lacks."""
     a = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("pieces").alias("pa"))
     b = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pieces").alias("pb"))
     each = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.aggregate(each, F.lit(0), lambda s, x: s + x).cast("long").alias("c"))
+    lacked = F.flatten(F.zip_with("pa", "pb", F.array_except))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", F.aggregate(each, F.lit(0), lambda s, x: s + x).cast("long").alias("c"), lacked.alias("outside"))
 
 
 def _linked(overlaps: DataFrame, part: int, whole: int) -> DataFrame:
     return overlaps.where(F.col("c") * whole >= (F.col("na") + F.col("nb") - F.col("c")) * part).select("a", "b")
 
 
+def _sides(rows: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows twice, named x_ and y_ but for the keys they meet on; only keys of several roots."""
+    split = rows.groupBy(*on).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(*on)
+    rows = rows.join(split, on, "left_semi")
+    return tuple(rows.select(*on, *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c not in on]) for side in "xy")
+
+
+def _across(posts: DataFrame, counted: DataFrame, roots: DataFrame, part: int, whole: int) -> DataFrame:
+    """(a, b): the pairs of different components that may link by all bounds."""
+    roots = roots.withColumnRenamed("node", "key")
+    suffices = lambda c: c * (whole + part) >= (F.col("x_n") + F.col("y_n")) * part
+    alike = (F.col("x_root") < F.col("y_root")) & (F.col("x_n") * whole >= F.col("y_n") * part) & (F.col("y_n") * whole >= F.col("x_n") * part)
+    # Each set's pivot is the hub that it was counted against, or itself.
+    pivots = counted.select(F.col("a").alias("key"), F.col("b").alias("pivot"), F.col("c").alias("held"))
+    known = posts.join(roots, "key", "left").join(pivots, "key", "left")
+    known = known.select("token", "key", "n", "shared", "rank", F.coalesce("root", "key").alias("root"), F.coalesce("pivot", "key").alias("pivot"), F.coalesce("held", "shared").alias("held"))
+    x, y = _sides(known, ["token"])
+    # A pair's overlap is at most what both have before and after this token of the order.
+    most = F.least("x_rank", "y_rank") + F.least(F.col("x_shared") - F.col("x_rank"), F.col("y_shared") - F.col("y_rank"))
+    within = (F.col("x_pivot") != F.col("y_pivot")) | suffices(F.least("x_held", "y_held"))
+    met = x.join(y, "token").where(alike & suffices(most) & within).select(F.col("x_key").alias("a"), F.col("y_key").alias("b"))
+    # Of one pivot: what both have within it, and what they share outside it.
+    lone = counted.select(F.col("a").alias("key"), F.col("b").alias("pivot"), F.col("na").alias("n"), F.col("c").alias("held"), F.size("outside").alias("lone"), F.explode("outside").alias("token"))
+    lone = lone.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    x, y = _sides(lone, ["pivot", "token"])
+    most = F.least("x_held", "y_held") + F.least("x_lone", "y_lone")
+    apart = x.join(y, ["pivot", "token"]).where(alike & suffices(most)).select(F.col("x_key").alias("a"), F.col("y_key").alias("b"))
+    return met.unionByName(apart).distinct()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One row for each row of docs: its id as ``doc_id``, ``n_shingles`` and
     ``component_id``, the smallest id that its links reach.
@@ -201,28 +235,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counted = cut(_overlaps(first, sets))
     links = _linked(counted, part, whole)
     roots = components(links)
-    # Each set's pivot is the hub that it was counted against; a hub without one is its own.
-    pivots = counted.select(F.col("a").alias("key"), F.col("b").alias("pivot"), F.col("c").alias("held"))
-    known = posts.join(roots.withColumnRenamed("node", "key"), "key", "left").join(pivots, "key", "left")
-    known = known.select("token", "key", "n", "shared", "rank", F.coalesce("root", "key").alias("root"), F.coalesce("pivot", "key").alias("pivot"), F.coalesce("held", "shared").alias("held"))
-    split = known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    known = known.join(split, "token", "left_semi")
-    names = ("key", "n", "shared", "rank", "root", "pivot", "held")
-    x = known.select("token", *[F.col(c).alias(f"x_{c}") for c in names])
-    y = known.select("token", *[F.col(c).alias(f"y_{c}") for c in names])
-    # Upper bounds of a pair's overlap: what both have before and after this token of the order; and, of one
-    # pivot, what both have within it and what both share outside it.
-    before, after = F.least("x_rank", "y_rank"), F.least(F.col("x_shared") - F.col("x_rank"), F.col("y_shared") - F.col("y_rank"))
-    within, outside = F.least("x_held", "y_held"), F.least(F.col("x_shared") - F.col("x_held"), F.col("y_shared") - F.col("y_held"))
-    most = F.when(F.col("x_pivot") == F.col("y_pivot"), F.least(before + after, within + outside)).otherwise(before + after)
-    rest = (
-        x.join(y, "token")
-        .where("x_root < y_root")
-        .where((F.col("x_n") * whole >= F.col("y_n") * part) & (F.col("y_n") * whole >= F.col("x_n") * part))
-        .where(most * (whole + part) >= (F.col("x_n") + F.col("y_n")) * part)
-        .select(F.col("x_key").alias("a"), F.col("y_key").alias("b"))
-        .distinct()
-    )
+    rest = cut(_across(posts, counted, roots, part, whole))
     links = links.unionByName(_linked(_overlaps(rest, sets), part, whole))
     roots = components(links).withColumnRenamed("node", "key")
     joined = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
