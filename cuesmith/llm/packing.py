@@ -8,11 +8,13 @@ slots; a piece takes the slot that has its rank among the pieces of its length.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +28,13 @@ END = 1
 STRETCH = 1024
 #: Entries of each of a task's two generations of remembered words.
 REMEMBERED = 500_000
+#: Words of letters that are encoded at a time.
+TOGETHER = 64
+
+
+def _stays_letter(c: str) -> bool:
+    """Whether c is a letter, and is nothing else when composed and in lower case."""
+    return c.isalpha() and (c.isascii() or unicodedata.normalize("NFC", c).lower().isalpha())
 
 
 class WordIds:
@@ -38,28 +47,49 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
+    def encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word with its ids.  Words of letters are encoded many at a time, one
+        after another, and parted where a token ends a word; where not each has
+        just one such end, they are encoded one by one, as all other words are."""
+        plain, alone = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
+        for at in range(0, len(plain), TOGETHER):
+            own = plain[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) == len(own):
+                raw = ids.tobytes()
+                yield from zip(own, [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)], strict=True)
+            else:
+                alone += own
+        for word, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            yield word, array("I", found.ids).tobytes()
+
     def texts(self, texts: list[str]) -> list[bytes]:
         """Each text's ids; words not seen lately are encoded in one call."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.young) >= REMEMBERED:
             self.old, self.young = self.young, {"": b""}
         young, old = self.young, self.old
-        fresh = set().union(*split).difference(young)
-        bases: dict[str, tuple[str, str]] = {}
-        for word in fresh:
+        wanted, parted = set(), []
+        for word in set().union(*split).difference(young):
             if word in old:
                 young[word] = old[word]
-            else:
-                # A mark after a letter is always a token of its own, and case is folded.
-                base, mark = (word[:-1], word[-1]) if len(word) > 1 and word[-1] in ",." and word[-2].isalpha() else (word, "")
-                bases[word] = (base.lower() if base.isascii() else base, mark)
-        wanted = [w for w in {*(b for b, _ in bases.values()), ",", "."} if w not in young]
-        for word, found in zip(wanted, self.tokenizer.encode_batch_fast(wanted, add_special_tokens=False), strict=True):
-            young[word] = array("I", found.ids).tobytes()
-        for word, (base, mark) in bases.items():
+                continue
+            # A mark after a letter is always a token of its own, and case is folded.
+            mark = word[-1] if word[-1] in ",." and _stays_letter(word[-2:-1]) else ""
+            base = word[:-1] if mark else word
+            if "A" <= base[0] <= "Z":
+                base = base[0].lower() + base[1:]
+            wanted.add(base)
+            parted.append((word, base, mark))
+        young.update(self.encode([w for w in {*wanted, ",", "."} if w not in young]))
+        for word, base, mark in parted:
             young[word] = young[base] + young[mark]
         return [b"".join(map(young.__getitem__, words)) for words in split]
 
