@@ -59,6 +59,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: All pairs of unlike sets that share a shingle, then smallest ids along links.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM w
+), k AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, chr(10))) END AS class, s FROM s
+), c AS (SELECT class, min(doc_id) AS least, any_value(n) AS n, any_value(s) AS s FROM k WHERE class IS NOT NULL GROUP BY class
+), t AS (SELECT least AS id, n, unnest(s) AS shingle FROM c
+), p AS (SELECT x.id AS a, y.id AS b, count(*) AS c2, any_value(x.n + y.n) AS n FROM t x JOIN t y ON x.shingle = y.shingle AND x.id < y.id GROUP BY x.id, y.id
+), e AS (SELECT a, b FROM p WHERE 100 * c2 >= 80 * (n - c2)
+), e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r AS (SELECT least AS node, least AS root FROM c UNION SELECT e2.b, r.root FROM r JOIN e2 ON e2.a = r.node WHERE r.root < e2.b
+), m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT k.doc_id, CAST(k.n AS BIGINT) AS n_shingles, coalesce(m.root, k.doc_id) AS component_id FROM k LEFT JOIN c ON c.class = k.class LEFT JOIN m ON m.node = c.least
+"""
+
 #: Distances are summed in the order of dimensions on both sides.
 OP5_SQL = """
 WITH v AS (
@@ -76,4 +94,4 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_nearest_neighbours": OP5_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op5_nearest_neighbours": OP5_SQL}

@@ -157,6 +157,16 @@ def test_word_hashes_do_not_depend_on_slices(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, sliced, strict=True))
 
 
+def test_slices_hold_every_row_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(shingles, "BATCH_BYTES", 10)
+    for texts in (["abc", None, "", "x" * 30, "defg", "h" * 9, None], [], ["y" * 50], [None]):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"])
+        parts = [p.column(0).to_pylist() for p in shingles.slices(batch, 0)]
+        assert sum(parts, []) == texts and all(len(p) == 1 or sum(len(t or "") for t in p) <= 10 for p in parts)
+
+
 def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 104), (7, 7), (200, 201)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -385,6 +395,15 @@ def test_packing(docs, texts):
     assert len(by_sequence) <= math.ceil(total / 4096) + 1
 
 
+def test_word_ids_like_the_library():
+    r = random.Random(4)
+    coder = packing.WordIds()
+    texts = ["".join(r.choice(" \n\t.,'sStTİ́aAéßſΣσ12²٣日本ªǅक़<|>end-text \u2028\u200b😀ͅ") for _ in range(r.randint(0, 60))) for _ in range(2000)]
+    texts += ["<|endoftext|> a<|endoftext|>b <|startoftext|>", "İSTANBUL İ, ǅ, it's don't, WE'LL. 'S.", "", "x" * 5000, "ab " * 5000]
+    want = coder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert coder.texts(texts) == [np.array(e.ids, "<u4").tobytes() for e in want]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_slots_is_a_packing_as_good_as_plain_best_fit(seed):
     r = random.Random(seed)

@@ -5,9 +5,12 @@ from __future__ import annotations
 import collections
 import re
 
+import pytest
+
 import corpus_pipeline as pipeline
 from cuesmith.llm import entries, language, quality, secret_scan
 
+from ..compare import differences
 from .test_operators import plain_components
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +54,8 @@ def test_stages_on_odd_and_empty_tables(spark):
 
 def test_every_operator_has_one_query():
     assert [re.match(r"op(\d+)_", n)[1] for n in entries.queries()] == [str(i) for i in range(1, 11)]
+
+
+@pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
+def test_query_like_its_sql(spark, name):
+    assert differences(spark, SF, entries.queries()[name], entries.oracle_sql()[name]) == ""
