@@ -17,7 +17,7 @@ WINDOW = 5
 #: from the median to that quartile, at least LEAST_SPREAD of it.
 SPREADS = 12.0
 #: ratio: the least distance of its fence above the group's upper quartile
-RATIOS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.30, "repeat_ratio": 0.15}
+RATIOS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.50, "repeat_ratio": 0.25}
 #: Below so many rows a group takes the fences of the whole table.
 LEAST_ROWS = 50
 KLL_K = 400
