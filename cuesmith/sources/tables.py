@@ -22,7 +22,7 @@ def cues_of(text: Column) -> Column:
 
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     """(path, index, start, end, text) of all subtitle files under path."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.srt").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.srt").text(path, wholetext=True)
     named = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(cues_of(F.col("value"))).alias("index", "c"))
     return named.select("path", (F.col("index") + 1).alias("index"), "c.start", "c.end", "c.text")
 
@@ -49,7 +49,7 @@ def read_cues_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_items(spark: SparkSession, path: str, item: str) -> DataFrame:
     """Rows of a JSON list, or of an object's items, queue or rows.  item: their schema."""
     kind = f"array<struct<{item}>>"
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     wrapped = F.from_json("value", f"items {kind}, queue {kind}, rows {kind}")
     rows = F.coalesce(F.when(F.ltrim("value").startswith("["), F.from_json("value", kind)), wrapped["items"], wrapped["queue"], wrapped["rows"])
     return text.select(F.explode(rows).alias("r")).select("r.*")

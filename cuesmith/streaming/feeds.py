@@ -48,7 +48,9 @@ def recent_counts(events: DataFrame, at: str, by: str, window: str, slide: str,
 
 def breaker_states(events: DataFrame, key: str, idle: str = "1 hour", **settings) -> DataFrame:
     """(key, seq, allowed, state) of a stream of (key, seq, at, kind, retry_after):
-    a key's breaker is its state, dropped when idle."""
+    a key's breaker is its state, dropped when idle.  A stream that is to end by
+    itself (availableNow) needs spark.sql.streaming.noDataMicroBatches.enabled off,
+    for batches without data go on as long as a key may yet time out."""
     kind = events.schema[key].dataType.simpleString()
 
     def run(k: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:

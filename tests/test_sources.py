@@ -113,7 +113,9 @@ def test_breaker_stream_like_replay(spark, tmp_path):
     for part in range(3):  # arrives in order of seq, in several files
         df.where(f"seq div 6 = {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 100).parquet(f"{tmp_path}/in")
-    feeds.breaker_states(stream, "key", **SETTINGS).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    feeds.breaker_states(stream, "key", **SETTINGS).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination(90)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == want
 
 
