@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import cut, parts
-from .shingles import mix, shingle_sets
+from .shingles import mix, shingle_sets, slices
 
 #: Vertical fragments in which a pair's overlap is counted.
 PIECES = 8
@@ -50,7 +50,7 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents of equal sets share (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             hashes, sizes = shingle_sets(batch.column(1))
             keys = pa.array(_class_keys(hashes, sizes).view(np.int64), mask=sizes == 0)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), keys], ["doc", "n", "key"])
@@ -63,7 +63,7 @@ def _fragments(docs: DataFrame, text_col: str, count: int) -> DataFrame:
     fragment, with every class once, whatever number of its copies it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             hashes, sizes = shingle_sets(batch.column(0))
             keys = _class_keys(hashes, sizes)
             first = np.zeros(len(sizes), bool)
@@ -221,7 +221,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = rows.where("key is not null").groupBy("key").agg(F.min("doc").alias("first"))
     n = parts(spark)
     sets = cut(
-        _fragments(docs, text_col, n)
+        _fragments(docs, text_col, 2 * n)  # two for each task: half as much at a time
         .groupBy("fragment")
         .applyInPandas(_shared_in_fragment(n), "bucket int, keys binary, sizes binary, tokens binary, rarity binary")
         .groupBy("bucket")

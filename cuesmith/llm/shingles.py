@@ -8,6 +8,8 @@ itself), so memory follows the batch and not the longest document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -15,6 +17,8 @@ import xxhash
 WIDTH = 5
 SLICE = 1 << 20
 LONG_WORD = 48
+#: Bytes of text whose sets are held at a time.
+BATCH_BYTES = 8 << 20
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -48,6 +52,16 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of whole rows of at most BATCH_BYTES of text (a longer row alone)."""
+    offsets = text_buffer(batch.column(column))[1]
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     size = end - start
     out = size.astype(_U) * _STEP
