@@ -41,7 +41,7 @@ def retry_after(value: Column, now: Column) -> Column:
     """Seconds to wait: a whole number, or an HTTP date's distance from now (epoch
     seconds); never negative, null for other texts."""
     at = F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(F.trim(value), r"^\w+, (.*) GMT$", "$1"), F.lit("dd MMM yyyy HH:mm:ss")))
-    return F.when(F.trim(value).rlike(r"^\d+$"), F.trim(value).try_cast("double")).otherwise(F.greatest(at - now, F.lit(0.0)))
+    return F.when(F.trim(value).rlike(r"^\d+$"), F.trim(value).try_cast("double")).otherwise(F.when(at.isNotNull(), F.greatest(at - now, F.lit(0.0))))
 
 
 def fit_video(video: Column, audio: Column, mode: str) -> tuple[Column, Column, Column]:
