@@ -42,9 +42,9 @@ def quota_durations(lines: DataFrame, cues: DataFrame, track: str) -> DataFrame:
     want = quota.join(first_cue, track).withColumn("want", F.col("own") * F.col("all") / F.col("whole"))
     met = want.join(cued.drop("all"), track).where((F.col("cum") >= F.col("want") - 1e-9) & (F.col("cum") - F.col("c_chars") < F.col("want") - 1e-9))
     at = F.col("c_start") + (F.col("want") - (F.col("cum") - F.col("c_chars"))) / F.col("c_chars") * (F.col("c_end") - F.col("c_start"))
-    after = cued.select(track, F.col("c_start").alias("n_start"), (F.col("cum") - F.col("c_chars")).alias("n_before"))
+    after = cued.select(F.col(track).alias("_track"), F.col("c_start").alias("n_start"), (F.col("cum") - F.col("c_chars")).alias("n_before"))
     # A quota that ends with a cue ends where the next one starts.
-    joined = met.withColumn("at", at).join(after, [met[track] == after[track], F.abs(met["want"] - after["n_before"]) < 1e-9], "left").drop(after[track])
+    joined = met.withColumn("at", at).join(after, [F.col(track) == F.col("_track"), F.abs(F.col("want") - F.col("n_before")) < 1e-9], "left").drop("_track")
     ends = joined.withColumn("stop", F.coalesce("n_start", "at"))
     last = F.row_number().over(by.orderBy(F.desc("index"))) == 1
     ends = ends.withColumn("stop", F.when(last, F.col("total")).otherwise(F.least("stop", "total")))
