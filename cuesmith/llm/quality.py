@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 #: White space between words.
 GAP = r"[\x20\x09-\x0D]+"
 WINDOW = 5
-#: A ratio is fenced at its group's upper quartile plus SPREADS times the distance
-#: from the median to that quartile, at least LEAST_SPREAD of it.
-SPREADS = 12.0
-#: ratio: the least distance of its fence above the group's upper quartile
-RATIOS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.50, "repeat_ratio": 0.25}
-#: Below so many rows a group takes the fences of the whole table.
-LEAST_ROWS = 50
-KLL_K = 400
+#: ratio: its quantile, how many times the distance from the median to that quantile
+#: its fence lies above it, and the least of that.  Symbols are not bounded by the base
+#: rules, so junk may fill a tail; repeats are, and what is usual lies in their tail.
+RATIOS = {"symbol_ratio": (0.75, 12.0, 0.05), "dup_line_ratio": (0.99, 0.5, 0.05), "repeat_ratio": (0.99, 0.5, 0.02)}
+#: Word length is fenced at so many halves of its quartiles' distance from the median, each half LEAST_HALF at least.
+HALVES, LEAST_HALF = 12.0, 0.05
+#: A group's quantiles count by its rows, the whole table's as so many rows.
+WHOLE_ROWS = 50
+KLL_K = 1000
 SALTS = 32
 
 
@@ -62,15 +63,15 @@ def _ratios(stats: DataFrame) -> DataFrame:
     return stats.withColumn("symbol_ratio", per("n_symbols", "word_chars")).withColumn("dup_line_ratio", per("n_dup_lines", "_n_lines")).withColumn("repeat_ratio", per("n_repeat_words", "n_words")).withColumn("word_length", per("word_chars", "n_words"))
 
 
-def _fences(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Fences of each group from sketches of the rows that pass the base rules."""
-    names = [*RATIOS, "word_length"]
-    sketched = rows.where("not base_failed").groupBy(*by).agg(F.count("*").alias("_rows"), *[F.kll_sketch_agg_double(F.col(n), F.lit(KLL_K)).alias(n) for n in names]).where("_rows > 0")
-    q = lambda n, x: F.kll_sketch_get_quantile_double(F.col(n), F.lit(x))
-    cols = [(q(n, 0.75) + F.greatest(F.lit(SPREADS) * (q(n, 0.75) - q(n, 0.5)), F.lit(least))).alias(f"{n}_most") for n, least in RATIOS.items()]
-    half = F.greatest((q("word_length", 0.75) - q("word_length", 0.25)) / 2, F.lit(0.25))
-    cols += [(q("word_length", 0.5) - SPREADS * half).alias("word_length_least"), (q("word_length", 0.5) + SPREADS * half).alias("word_length_most")]
-    return sketched.select(*by, "_rows", *cols)
+def _quantiles(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Quantiles of each group from sketches of the rows that pass the base rules."""
+    wanted = {**{n: (0.5, x) for n, (x, _, _) in RATIOS.items()}, "word_length": (0.25, 0.5, 0.75)}
+    sketched = rows.where("not base_failed").groupBy(*by).agg(F.count("*").alias("_rows"), *[F.kll_sketch_agg_double(F.col(n), F.lit(KLL_K)).alias(n) for n in wanted]).where("_rows > 0")
+    return sketched.select(*by, "_rows", *[F.kll_sketch_get_quantile_double(F.col(n), F.lit(x)).alias(_at(n, x)) for n, xs in wanted.items() for x in xs])
+
+
+def _at(name: str, x: float) -> str:
+    return f"{name}_{round(100 * x)}"
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -78,8 +79,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_dup_lines, n_repeat_words, base_failed, kept, and the ratios judged.
 
     base_failed: n_words < 10 or 100 * n_repeat_words > 20 * n_words.  kept: not
-    base_failed, and every ratio within its (language, source) group's fences;
-    a group of fewer than LEAST_ROWS rows uses the whole table's.  Null language
+    base_failed, and every ratio within its (language, source) group's fences,
+    whose quantiles are drawn towards the whole table's by WHOLE_ROWS.  Null language
     or source is a group of its own; a null or empty text fails the base rules;
     repeated rows are judged alike; an empty table gives an empty result; other
     columns are ignored.
@@ -94,17 +95,19 @@ def _judge(rows: DataFrame, by: list[str]) -> DataFrame:
     from .shared import cut
 
     rows = cut(rows)
-    bounds = ["symbol_ratio_most", "dup_line_ratio_most", "repeat_ratio_most", "word_length_least", "word_length_most"]
-    # One group may hold a third of all rows: rows are dealt to SALTS parts of their group, and its one row of fences to each.
-    own = _fences(rows, by).where(F.col("_rows") >= LEAST_ROWS).drop("_rows").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    names = [*[_at(n, x) for n, (tail, _, _) in RATIOS.items() for x in (0.5, tail)], *[_at("word_length", x) for x in (0.25, 0.5, 0.75)]]
+    # One group may hold a third of all rows: rows are dealt to SALTS parts of their group, and its one row of quantiles to each.
+    own = _quantiles(rows, by).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)))
-    whole = _fences(rows, []).select(F.struct(*bounds)).scalar()  # one row, as a subquery
+    whole = _quantiles(rows, []).select(F.struct(*names)).scalar()  # one row, as a subquery
     met = rows.join(own, [*by, "_salt"], "left")
-    fence: dict[str, Column] = {b: F.coalesce(F.col(b), whole[b]) for b in bounds}
-    within = (
-        (F.col("symbol_ratio") <= fence["symbol_ratio_most"])
-        & (F.col("dup_line_ratio") <= fence["dup_line_ratio_most"])
-        & (F.col("repeat_ratio") <= fence["repeat_ratio_most"])
-        & F.col("word_length").between(fence["word_length_least"], fence["word_length_most"])
-    )
+    n = F.coalesce("_rows", F.lit(0))
+
+    def q(name: str, x: float) -> Column:
+        return (n * F.coalesce(F.col(_at(name, x)), F.lit(0.0)) + WHOLE_ROWS * whole[_at(name, x)]) / (n + WHOLE_ROWS)
+
+    half = F.greatest((q("word_length", 0.75) - q("word_length", 0.25)) / 2, F.lit(LEAST_HALF))
+    within = F.abs(F.col("word_length") - q("word_length", 0.5)) <= HALVES * half
+    for name, (tail, times, least) in RATIOS.items():
+        within = within & (F.col(name) <= q(name, tail) + F.greatest(F.lit(times) * (q(name, tail) - q(name, 0.5)), F.lit(least)))
     return met.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(within, F.lit(True))).alias("kept"), "symbol_ratio", "dup_line_ratio", "repeat_ratio", "word_length")

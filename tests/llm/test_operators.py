@@ -234,6 +234,34 @@ def test_quality_fences_are_of_their_group(spark):
     assert all(v for k, v in kept.items() if k != 5000) and not kept[5000]
 
 
+def test_quality_repeats_are_fenced_below_the_base_rule(spark):
+    """Where repeats are rare, 15 of 100 repeated words or 5 of 11 repeated lines are too many; where they are usual, they stay."""
+    r = random.Random(2)
+    some = lambda n: ["w" + str(r.randrange(10**6)) for _ in range(n)]
+
+    def repeating():
+        w = some(85)
+        return " ".join(w + w[:7])
+
+    def lines():
+        return "\n".join(["keep-on", *(x for _ in range(6) for x in (" ".join(some(4)), "keep-on"))][:11])
+
+    rows = [(i, " ".join(some(100)), "en", "rare") for i in range(300)] + [(1000 + i, repeating(), "en", "usual") for i in range(300)] + [(5000, repeating(), "en", "rare"), (5001, lines(), "en", "rare")]
+    rows += [(2000 + i, lines(), "en", "lists") for i in range(300)]
+    got = {x["doc_id"]: (x["base_failed"], x["kept"]) for x in quality.quality_rules(spark.createDataFrame(rows, KIND)).collect()}
+    assert not any(failed for failed, _ in got.values())
+    assert {d for d, (_, kept) in got.items() if not kept} == {5000, 5001}
+
+
+def test_quality_small_groups_have_fences_of_their_own(spark):
+    """40 rows of a group with symbols are enough to move its fence; there is no switch at some count of rows."""
+    r = random.Random(3)
+    line = lambda bars: " ".join("w" + str(r.randrange(10**6)) + "|" * (k < bars) for k in range(60))
+    rows = [(i, line(0), "en", "prose") for i in range(400)] + [(1000 + i, line(30), "en", "tables") for i in range(40)] + [(5000, line(30), "en", "prose")]
+    got = {x["doc_id"]: x["kept"] for x in quality.quality_rules(spark.createDataFrame(rows, KIND)).collect()}
+    assert {d for d, kept in got.items() if not kept} == {5000}
+
+
 # --- neighbours
 
 
