@@ -57,6 +57,23 @@ def envelope_similarity(a: Column, b: Column) -> Column:
     return F.when(n <= 0, 0.0).when((norm_x < flat) & (norm_y < flat), 1.0).when((norm_x < flat) | (norm_y < flat), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
 
 
+def centred_envelope(v: Column) -> Column:
+    """What each pair of an envelope needs of it: v, its mean-centred values and their norm."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, t: s + t)
+    # The mean is bound by a transform of one element: inside the inner function it would be summed for each t.
+    c = F.get(F.transform(F.array(total(v) / F.size(v)), lambda mean: F.transform(v, lambda t: t - mean)), 0)
+    return F.struct(v.alias("v"), c.alias("c"), F.sqrt(total(F.transform(c, lambda t: t * t))).alias("norm"))
+
+
+def centred_similarity(a: Column, b: Column) -> Column:
+    """envelope_similarity of two centred envelopes; those of unlike lengths are centred anew."""
+    flat = 1e-9
+    dot = F.aggregate(F.zip_with(a["c"], b["c"], lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
+    cosine = (dot / (a["norm"] * b["norm"]) + 1) / 2
+    same = F.when((a["norm"] < flat) & (b["norm"] < flat), 1.0).when((a["norm"] < flat) | (b["norm"] < flat), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
+    return F.when((F.size(a["v"]) == F.size(b["v"])) & (F.size(a["v"]) > 0), same).otherwise(envelope_similarity(a["v"], b["v"]))
+
+
 def level(score: Column, threshold: float, floor: float = 0.78) -> Column:
     return F.when(score >= threshold, "high").when(score >= max(floor, threshold - 0.10), "medium").otherwise("low")
 

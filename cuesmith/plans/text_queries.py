@@ -160,14 +160,14 @@ def banded_pairs(spark, sf_dir):
 
 @query("j06_envelope_pairs")
 def envelope_pairs(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", similar.centred_envelope(F.col("embedding").cast("array<double>")).alias("v"))
     p = similarity.exhaustive_pairs(e, "vec_id", "label", ["v"])
-    return p.select("left_id", "right_id", similar.envelope_similarity(F.col("l_v"), F.col("r_v")).alias("similarity")).withColumn("level", similar.level(F.col("similarity"), 0.97, 0.85))
+    return p.select("left_id", "right_id", similar.centred_similarity(F.col("l_v"), F.col("r_v")).alias("similarity")).withColumn("level", similar.level(F.col("similarity"), 0.97, 0.85))
 
 
 @query("x11_fingerprint_pairs")
 def fingerprint_pairs(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").select("vec_id", "label", F.transform("embedding", lambda x: F.floor(x * 1000000).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("v"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.floor(x * 1000000).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("v"))
     p = similarity.exhaustive_pairs(e, "vec_id", "label", ["v"])
     return p.select("left_id", "right_id", similar.fingerprint_similarity(F.col("l_v"), F.col("r_v")).alias("similarity"))
 
