@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shingles import text_buffer
 
 MASK = "[SECRET]"
-#: Bytes of a candidate; a run with a digit or one of =: is a candidate from LEAST on, others from LEAST_PLAIN on.
+#: Bytes of a candidate; runs with a digit or one of =:, and those after a secret word, have candidates from LEAST on, others from LEAST_PLAIN on.
 KEYLIKE = string.ascii_letters + string.digits + "+/_-.~=:$"
 LEAST, LEAST_PLAIN = 8, 20
 BESIDE = 48
@@ -45,6 +45,9 @@ _MARK = np.zeros(256, bool)
 _MARK[list(b"0123456789=:")] = True
 _COVER = re.compile("|".join(sorted((w for w in WORDS if len(w) > 2), key=len, reverse=True)))
 _SECRET = re.compile(r"(?<![a-z])(?:" + "|".join(SECRET_WORDS) + r")(?![a-z])")
+_SECRET_BYTES = re.compile(_SECRET.pattern.encode())
+#: A run is parted at each = and :, but = at the end of a part is its padding.
+_PART = re.compile(r"[^=:]+(?:=+(?=:|\Z))?")
 _FALSE = re.compile(r"(?<![a-z])(?:" + "|".join(FALSE_WORDS) + r")(?![a-z])")
 _PATH = re.compile(r"(?<![a-z])(?:" + "|".join(PATH_WORDS) + r")(?![a-z])")
 _HEX = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
@@ -175,8 +178,15 @@ def _runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int
         starts, ends = starts[long], ends[long]
         marks = np.concatenate(([0], np.cumsum(_MARK[data[at:to]])))
         kept = (marks[ends] > marks[starts]) | (ends - starts >= LEAST_PLAIN)
-        starts, ends = starts[kept] + at, ends[kept] + at
-        yield from zip((np.searchsorted(offsets, starts, "right") - 1).tolist(), starts.tolist(), ends.tolist(), strict=True)
+        starts, ends = starts + at, ends + at
+        rows = np.searchsorted(offsets, starts, "right") - 1
+        plain = np.flatnonzero(~kept)
+        lead = max(int(offsets[0]), at - BESIDE)
+        lower = data[lead:to].tobytes().lower() if len(plain) else b""
+        least = np.maximum(offsets[rows], starts - BESIDE) - lead
+        for i in plain.tolist():
+            kept[i] = _SECRET_BYTES.search(lower, int(least[i]), int(starts[i]) - lead) is not None
+        yield from zip(rows[kept].tolist(), starts[kept].tolist(), ends[kept].tolist(), strict=True)
         at = to
 
 
@@ -185,17 +195,16 @@ def find(texts: pa.Array, paths: list[str | None]) -> list[tuple[int, int, int,
     data, offsets = text_buffer(texts)
     found, features = [], []
     for row, start, end in _runs(data, offsets):
-        raw = data[start:end].tobytes().decode()
-        cut = max(raw.rfind("=", 0, len(raw.rstrip("=-.:~"))), raw.rfind(":", 0, len(raw.rstrip("=-.:~")))) + 1
-        value = raw[cut:].rstrip(".:" if raw.endswith((".", ":")) else "")
-        if len(value) < LEAST:
-            continue
         first, last = int(offsets[row]), int(offsets[row + 1])
-        place = start + cut
-        before = data[max(first, place - BESIDE) : place].tobytes().decode(errors="ignore")
-        after = data[place + len(value) : min(last, place + len(value) + BESIDE)].tobytes().decode(errors="ignore")
-        found.append((row, place, len(value), value))
-        features.append(describe(value, before, after, paths[row] or ""))
+        for part in _PART.finditer(data[start:end].tobytes().decode()):
+            value = part.group().rstrip(".")
+            if len(value) < LEAST:
+                continue
+            place = start + part.start()
+            before = data[max(first, place - BESIDE) : place].tobytes().decode(errors="ignore")
+            after = data[place + len(value) : min(last, place + len(value) + BESIDE)].tobytes().decode(errors="ignore")
+            found.append((row, place, len(value), value))
+            features.append(describe(value, before, after, paths[row] or ""))
     if not found:
         return []
     out, seen = [], (-1, 0, 0)  # row, bytes and code points so far
