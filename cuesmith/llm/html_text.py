@@ -12,6 +12,7 @@ page's text, without those inside boilerplate elements.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -33,6 +34,10 @@ REGIONS = frozenset("article main section div body td".split())
 #: A p is closed by these starting; li, dt, dd, tr, td, th and option by their like.
 CLOSES_P = BLOCKS - {"body", "caption", "dd", "dt", "head", "html", "legend", "option", "summary", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "li"} | {"li", "dd", "dt"}
 LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: What a head may hold; anything else starts the body, as </head> and <body> may be left out.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Silent elements that a page may fail to close: the next tag of their name tells.
+UNCLOSED = {tag: re.compile(rf"<(/?){tag}\b", re.I) for tag in ("button", "select")}
 SIGMA, REACH = 1.0, 3
 KERNEL = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-REACH, REACH + 1)]
 
@@ -56,8 +61,10 @@ class Lines(HTMLParser):
     Blocks are numbered as they open; ``above`` and ``tag_of`` have each one's
     enclosing block and its tag (0: none)."""
 
-    def __init__(self) -> None:
+    def __init__(self, page: str = "") -> None:
         super().__init__(convert_charrefs=True)
+        self.page, self.starts = page, [0]  # and where each line of it starts, as needed
+        self.loose: list[int] = []  # depths of open elements of UNCLOSED without an end tag
         self.lines: list[tuple[str, int, int, int, bool]] = []
         self.open: list[tuple[str, int, bool, bool]] = []  # tag, innermost block, silent, boilerplate
         self.count: Counter[str] = Counter()  # of open elements by tag
@@ -73,9 +80,24 @@ class Lines(HTMLParser):
         if words or self.tags:
             self.text, self.tags, self.linked = [], 0, 0
 
+    def is_unclosed(self, tag: str) -> bool:
+        line, offset = self.getpos()
+        while len(self.starts) < line:
+            self.starts.append(self.page.index("\n", self.starts[-1]) + 1)
+        after = UNCLOSED[tag].search(self.page, self.starts[line - 1] + offset + 1)
+        return not (after and after.group(1))
+
+    def end_head(self) -> None:
+        self.flush()
+        self.cut(next(i for i, x in enumerate(self.open) if x[0] == "head"))
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.count["head"] and tag not in IN_HEAD and (self.open[-1][0] == "head" or tag == "body" and not self.count["template"]):
+            self.end_head()
         if tag in BLOCKS:
             self.flush()
+            if self.loose and tag not in ("option", "legend"):
+                self.cut(self.loose[0])
             if tag in CLOSES_P:
                 self.close_to(("p",), stop=("table", "td", "th", "button"))
             if tag in LIKE:
@@ -92,6 +114,8 @@ class Lines(HTMLParser):
             self.above.append(block)
             self.tag_of.append(tag)
             block = len(self.above) - 1
+        if tag in UNCLOSED and self.is_unclosed(tag):
+            self.loose.append(len(self.open))
         self.open.append((tag, block, silent or tag in SILENT, boiler))
         self.count[tag] += 1
 
@@ -125,8 +149,12 @@ class Lines(HTMLParser):
     def cut(self, at: int) -> None:
         self.count.subtract(x[0] for x in self.open[at:])
         del self.open[at:]
+        while self.loose and self.loose[-1] >= at:
+            self.loose.pop()
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.end_head()
         if not (self.open and self.open[-1][2]):
             self.text.append(data)
             if self.count["a"] > 0:
@@ -164,7 +192,7 @@ def main_text(html: str | None) -> str:
     """The page's main text, one line for each block; empty if there is none."""
     if not html:
         return ""
-    parser = Lines()
+    parser = Lines(html)
     parser.feed(html)
     parser.close()
     parser.flush()
