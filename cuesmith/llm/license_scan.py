@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -20,9 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Paragraphs that hold none of these can't be a notice; only others are classified.  Words count in lower, title and upper case.
-STEMS = ("licen", "copyright", "permission", "redistribut", "warrant", "public domain", "apache", "creative commons", "mozilla", "unlicense")
-MARKS = ("SPDX", "GPL", "MIT", "CC BY", "CC-BY", "CC0", "BSD", "MPL")
+#: Texts that hold none of these, in any case of letters, are not classified.  MARKS stand in other words when in lower case.
+STEMS = ("licen", "copyright", "permission", "redistribut", "warrant", "public domain", "apache", "creative commons", "mozilla", "spdx", "gpl", "cc by", "cc-by", "cc0", "bsd", "mpl-", "mpl 2", "mplv", "mpl2")
+MARKS = ("MIT", "MPL")
+#: Words of a passage in a row that a line without an anchor needs, in a text with one.
+LINK = 4
+#: A line of more words than LONG is also judged by windows of WINDOW words, every STRIDE.
+LONG, WINDOW, STRIDE = 24, 8, 4
 WORD = r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]"
 STEPS, RATE, L2 = 300, 2.0, 2e-4
 #: Least part of a paragraph's n-grams that a confirming family's templates hold.
@@ -116,13 +121,36 @@ def model() -> dict:
 
 def _anchored(text: Column) -> Column:
     """Plain substring tests, which stay in generated code and need no regular expression."""
-    wanted = [*MARKS, *(v for w in STEMS for v in (w, w[0].upper() + w[1:], w.upper()))]
-    found = F.contains(text, F.lit(wanted[0]))
-    for w in wanted[1:]:
+    found = F.contains(text, F.lit(MARKS[0]))
+    for w in MARKS[1:]:
         found = found | F.contains(text, F.lit(w))
+    return found | _stemmed(F.lower(text))
+
+
+def _stemmed(lower: Column) -> Column:
+    found = F.contains(lower, F.lit(STEMS[0]))
+    for w in STEMS[1:]:
+        found = found | F.contains(lower, F.lit(w))
     return found
 
 
+def _links() -> list[str]:
+    """Every LINK words in a row of the passages, so that each line of a wrapped notice has some."""
+    words = [re.findall(WORD, p.lower()) for own in PASSAGES.values() for p in own]
+    return sorted({" ".join(w[k : k + LINK]) for w in words for k in range(len(w) - LINK + 1)})
+
+
+def _runs(words: str, n: int) -> Column:
+    """The words' runs of n, each as text."""
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return _bound(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<string>")))
+
+
+def _bound(words: str, f: Callable[[Column], Column]) -> Column:
+    """f of the words, which are made once: an inner function would make them again for each of its elements."""
+    return F.get(F.transform(F.array(F.col(words)), f), 0)
+
+
 def _weights(spark: SparkSession, table: list[dict]) -> DataFrame:
     kind = "array<struct<g: string, w: array<double>, t: array<int>>>"
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(table)), kind)).alias("r")).select("r.*")
@@ -130,7 +158,9 @@ def _weights(spark: SparkSession, table: list[dict]) -> DataFrame:
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line, paragraph, family, probability, similarity, confirmed): a row
-    for each anchored paragraph (text between line feeds; line counts from 0).
+    for each paragraph (text between line feeds; line counts from 0) that is
+    anchored, or stands in an anchored text and has LINK words of a passage.
+    A long paragraph that does not confirm as a whole is judged by its best window.
 
     family is ``unknown`` where prose or no family clears the calibrated
     threshold; confirmed: a known family whose templates hold CONFIRM of the
@@ -142,17 +172,25 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     families, k = m["families"], len(m["families"])
     text = F.col(text_col).cast("string")
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_t")).where(_anchored(F.col("_t")))
-    lines = lines.select("doc_id", F.posexplode(F.split("_t", "\n", -1)).alias("line", "paragraph")).where(_anchored(F.col("paragraph")))
+    lines = lines.select("doc_id", F.posexplode(F.split("_t", "\n", -1)).alias("line", "paragraph")).withColumn("_a", _anchored(F.col("paragraph")))
     words = lines.withColumn("_w", F.regexp_extract_all(F.lower("paragraph"), F.lit(f"({WORD})"), F.lit(1)))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat_ws(" ", F.get(F.col("_w"), i - 1), F.get(F.col("_w"), i)))
-    own = words.withColumn("_g", F.array_distinct(F.concat("_w", F.when(F.size("_w") > 1, pairs).otherwise(F.array().cast("array<string>")))))
-    each = own.select("doc_id", "line", "paragraph", F.size("_g").alias("_n"), F.explode("_g").alias("g"))
+    words = words.where(F.col("_a") | F.arrays_overlap(_runs("_w", LINK), F.array(*[F.lit(x) for x in _links()])))
+    parts = _bound("_w", lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(STRIDE)), lambda i: F.slice(w, i, WINDOW)))
+    # The upper-case marks are lower-case words here; "mit" and "mpl" as whole words are anchors of a window too.
+    parts = F.filter(parts, lambda p: _stemmed(F.array_join(p, " ")) | F.arrays_overlap(p, F.array(*[F.lit(m.lower()) for m in MARKS])))
+    parts = F.when(F.size("_w") > LONG, F.array_distinct(parts)).otherwise(F.array().cast("array<array<string>>"))
+    words = words.select("doc_id", "line", "paragraph", F.posexplode(F.concat(F.array("_w"), parts)).alias("_part", "_w"))
+    own = words.withColumn("_g", F.array_distinct(F.concat("_w", _runs("_w", 2))))
+    each = own.select("doc_id", "line", "paragraph", "_part", F.size("_g").alias("_n"), F.explode("_g").alias("g"))
     met = each.join(F.broadcast(_weights(spark, m["table"])), "g", "left")  # the notices' n-grams, whatever the corpus
     at = lambda c, i: F.coalesce(F.get(F.col(c), F.lit(i)), F.lit(0))
-    sums = met.groupBy("doc_id", "line", "paragraph").agg(F.max("_n").alias("_n"), *[F.sum(at("w", i)).alias(f"w{i}") for i in range(k)], *[F.sum(at("t", i)).alias(f"t{i}") for i in range(k)])
+    sums = met.groupBy("doc_id", "line", "paragraph", "_part").agg(F.max("_n").alias("_n"), *[F.sum(at("w", i)).alias(f"w{i}") for i in range(k)], *[F.sum(at("t", i)).alias(f"t{i}") for i in range(k)])
     logits = F.array(*[(F.col(f"w{i}") / F.sqrt("_n") + F.lit(m["bias"][i])) / F.lit(m["heat"]) for i in range(k)])
     scored = sums.withColumn("_z", logits).withColumn("_top", F.array_max("_z")).withColumn("_best", F.array_position("_z", F.col("_top")).cast("int") - 1)
     scored = scored.withColumn("probability", 1 / F.aggregate("_z", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("_top"))))
     known = (F.col("_best") < k - 1) & (F.col("probability") >= m["threshold"])
     hits = F.get(F.array(*[F.col(f"t{i}") for i in range(k)]), F.col("_best")) / F.col("_n")
-    return scored.select("doc_id", "line", "paragraph", F.when(known, F.get(F.array(*[F.lit(f) for f in families]), F.col("_best"))).otherwise(UNKNOWN).alias("family"), "probability", hits.alias("similarity"), (known & (hits >= CONFIRM)).alias("confirmed"))
+    judged = scored.select("doc_id", "line", "paragraph", "_part", F.when(known, F.get(F.array(*[F.lit(f) for f in families]), F.col("_best"))).otherwise(UNKNOWN).alias("family"), "probability", hits.alias("similarity"), (known & (hits >= CONFIRM)).alias("confirmed"))
+    # The whole paragraph, unless only a window of it confirms.
+    best = judged.groupBy("doc_id", "line", "paragraph").agg(F.max_by(F.struct("family", "probability", "similarity", "confirmed"), F.struct("confirmed", F.col("_part") == 0, "probability", -F.col("_part"))).alias("_b"))
+    return best.select("doc_id", "line", "paragraph", "_b.*")
