@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space between words.
+BLANKS = " \t\n\v\f\r"
 GAP = r"[\x20\x09-\x0D]+"
 WINDOW = 5
 #: ratio: its quantile, how many times the distance from the median to that quantile
@@ -31,7 +32,8 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     df = docs.select(*[F.col(c) for c in (keep or [])], F.col(id_col).cast("long").alias("_id"), text.alias("_text"))
     df = df.withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    words = F.split(F.regexp_replace("_text", rf"^{GAP}|{GAP}\z", ""), GAP, -1)
+    # Trimmed by a list of characters: a pattern at the end would try a run of blanks from each of its places.
+    words = F.split(F.btrim(F.col("_text"), F.lit(BLANKS)), GAP, -1)
     df = df.withColumn("_words", F.when(F.col("_text").rlike(r"[^\x20\x09-\x0D]"), F.transform(words, lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<long>")))
     size = F.size("_words")
     at = lambda i, k: F.get(F.col("_words"), i + k)
