@@ -1,11 +1,12 @@
 """Licence scan by a trained paragraph classifier, in DataFrame functions only.
 
 A multinomial logistic regression on word 1- and 2-grams is fitted on the driver
-from the notices below (a fixed, small table).  Its weights become a small table
-of n-grams; scoring is a join with it and sums per paragraph.  Prose is a class of
-its own, and a threshold calibrated on notices and prose left out of the fit
-decides what stays unknown.  A predicted family holds if enough of the paragraph's
-n-grams stand in that family's templates.
+from the notices below (a fixed, small table), with a penalty that leaves most
+n-grams without weight.  A paragraph with none of the others is prose by the
+model's biases alone, so only paragraphs with one are scored, each within its own
+row.  Prose is a class of its own, and a threshold calibrated on notices and prose
+left out of the fit decides what stays unknown.  A predicted family holds if enough
+of the paragraph's n-grams stand in that family's templates.
 """
 
 from __future__ import annotations
@@ -17,22 +18,22 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Texts that hold none of these, in any case of letters, are not classified.  MARKS stand in other words when in lower case.
+#: Paragraphs that hold one of these, in any case of letters, are reported even if unknown.  MARKS stand in other words when in lower case.
 STEMS = ("licen", "copyright", "permission", "redistribut", "warrant", "public domain", "apache", "creative commons", "mozilla", "spdx", "gpl", "cc by", "cc-by", "cc0", "bsd", "mpl-", "mpl 2", "mplv", "mpl2")
 MARKS = ("MIT", "MPL")
-#: Words of a passage in a row that a line without an anchor needs, in a text with one.
-LINK = 4
 #: A line of more words than LONG is also judged by windows of WINDOW words, every STRIDE.
 LONG, WINDOW, STRIDE = 24, 8, 4
 WORD = r"[a-z0-9][a-z0-9.+-]*[a-z0-9+]|[a-z0-9]"
-STEPS, RATE, L2 = 300, 2.0, 2e-4
+STEPS, RATE, L2, L1 = 300, 8.0, 2e-4, 3e-4
 #: Least part of a paragraph's n-grams that a confirming family's templates hold.
 CONFIRM = 0.5
 
+# Words too common in some language to be features by themselves; pairs of two of them are none either.
+COMMON = frozenset("a all an and any are as at be by can do for from has he her his if in into is it its mit may no nor not of on one or other she shall so such that the their they this those to was were which who will with you your 1 2 3 1.0 2.0 3.0 4.0".split())
 # Names of each family, and opening passages of its notices.
 NAMES = {
     "MIT": ["MIT License", "MIT licence", "The MIT License (MIT)", "Expat License"],
@@ -74,9 +75,13 @@ def grams(text: str) -> list[str]:
     return sorted({*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))})
 
 
+def _is_feature(gram: str) -> bool:
+    return not COMMON.issuperset(gram.split(" "))
+
+
 @lru_cache(1)
 def model() -> dict:
-    """families, n-grams with their weights and templates, biases, temperature and threshold."""
+    """families, weights of n-grams, each family's templates, biases, temperature and threshold."""
     families = [*NAMES, UNKNOWN]
     rows = [(f, frame.format(name)) for f, names in NAMES.items() for name in names for frame in FRAMES]
     for f, own in PASSAGES.items():
@@ -84,25 +89,33 @@ def model() -> dict:
             words = p.split()
             rows += [(f, p)] * 4 + [(f, " ".join(words[k : k + 13])) for k in range(0, len(words) - 6, 4)]
     rows += [(UNKNOWN, p) for p in PROSE for _ in range(8)]
-    vocabulary = {g: i for i, g in enumerate(sorted({g for _, t in rows for g in grams(t)}))}
+    vocabulary = {g: i for i, g in enumerate(sorted({g for _, t in rows for g in grams(t) if _is_feature(g)}))}
     x, y = np.zeros((len(rows), len(vocabulary))), np.array([families.index(f) for f, _ in rows])
     for i, (_, t) in enumerate(rows):
-        own = [vocabulary[g] for g in grams(t)]
-        x[i, own] = 1 / math.sqrt(len(own))
+        own = grams(t)
+        x[i, [vocabulary[g] for g in own if g in vocabulary]] = 1 / math.sqrt(len(own))
     aside = np.arange(len(rows)) % 5 == 0
     share = len(rows) / (len(families) * np.bincount(y, minlength=len(families)))
 
-    def fit(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def steps(keep: np.ndarray, used: np.ndarray, l1: float) -> tuple[np.ndarray, np.ndarray]:
         w, b, cost = np.zeros((x.shape[1], len(families))), np.zeros(len(families)), share[y[keep]][:, None] / keep.sum()
+        own = np.where(used, x[keep], 0.0)
         for _ in range(STEPS):
-            p = x[keep] @ w + b
+            p = own @ w + b
             p = np.exp(p - p.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(p)), y[keep]] -= 1
-            w -= RATE * (x[keep].T @ (p * cost) + L2 * w) * 4
-            b -= RATE * (p * cost).sum(0)
+            w -= RATE * (own.T @ (p * cost) + L2 * w)
+            w = np.sign(w) * np.maximum(np.abs(w) - RATE * l1, 0)
+            b -= RATE / 4 * (p * cost).sum(0)
+            b[-1] = max(b[-1], b[:-1].max())  # without any feature, prose is the likeliest
         return w, b
 
+    def fit(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features by the penalty L1, and their weights without it."""
+        w, _ = steps(keep, np.ones(x.shape[1], bool), L1)
+        return steps(keep, w.any(1), 0.0)
+
     w, b = fit(~aside)
     z = x[aside] @ w + b
     heat = min((0.2, 0.3, 0.5, 0.7, 1.0, 1.5, 2.0), key=lambda t: float((np.log(np.exp(z / t - (z / t).max(1, keepdims=True)).sum(1)) + (z / t).max(1) - z[np.arange(len(z)), y[aside]] / t).mean()))
@@ -110,13 +123,11 @@ def model() -> dict:
     p /= p.sum(1, keepdims=True)
     strangers = p[y[aside] == len(families) - 1][:, :-1].max(1)
     w, b = fit(np.ones(len(rows), bool))
-    templates: dict[str, set[int]] = {}
+    templates: dict[str, set[str]] = {}
     for f, t in rows:
-        if f != UNKNOWN:
-            for g in grams(t):
-                templates.setdefault(g, set()).add(families.index(f))
-    table = [{"g": g, "w": [round(float(v), 5) for v in w[i]], "t": [int(k in templates.get(g, ())) for k in range(len(families))]} for g, i in vocabulary.items()]
-    return {"families": families, "table": table, "bias": b.tolist(), "heat": heat, "threshold": float(max(0.5, strangers.max(initial=0.0) + 0.02))}
+        templates.setdefault(f, set()).update(grams(t) if f != UNKNOWN else ())
+    weights = {g: [round(float(v), 5) for v in w[i]] for g, i in vocabulary.items() if w[i].any()}
+    return {"families": families, "weights": weights, "templates": [sorted(templates[f]) for f in families], "bias": b.tolist(), "heat": heat, "threshold": float(max(0.5, strangers.max(initial=0.0) + 0.02))}
 
 
 def _anchored(text: Column) -> Column:
@@ -134,63 +145,80 @@ def _stemmed(lower: Column) -> Column:
     return found
 
 
-def _links() -> list[str]:
-    """Every LINK words in a row of the passages, so that each line of a wrapped notice has some."""
-    words = [re.findall(WORD, p.lower()) for own in PASSAGES.values() for p in own]
-    return sorted({" ".join(w[k : k + LINK]) for w in words for k in range(len(w) - LINK + 1)})
-
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is made once: an inner function would make it again for each of its elements."""
+    return F.get(F.transform(F.array(value), f), 0)
 
-def _runs(words: str, n: int) -> Column:
-    """The words' runs of n, each as text."""
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return _bound(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<string>")))
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
 
-def _bound(words: str, f: Callable[[Column], Column]) -> Column:
-    """f of the words, which are made once: an inner function would make them again for each of its elements."""
-    return F.get(F.transform(F.array(F.col(words)), f), 0)
 
-
-def _weights(spark: SparkSession, table: list[dict]) -> DataFrame:
-    kind = "array<struct<g: string, w: array<double>, t: array<int>>>"
-    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(table)), kind)).alias("r")).select("r.*")
+def _pairs(words: Column) -> Column:
+    """Each two words in a row, as text."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+    return F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line, paragraph, family, probability, similarity, confirmed): a row
-    for each paragraph (text between line feeds; line counts from 0) that is
-    anchored, or stands in an anchored text and has LINK words of a passage.
-    A long paragraph that does not confirm as a whole is judged by its best window.
+    for each paragraph (text between line feeds; line counts from 0) whose family
+    is known or that holds one of STEMS or MARKS.  Every paragraph is judged: one
+    without a feature of the model is unknown by its biases.  A long paragraph that
+    does not confirm as a whole is judged by its best window.
 
     family is ``unknown`` where prose or no family clears the calibrated
     threshold; confirmed: a known family whose templates hold CONFIRM of the
     paragraph's n-grams.  A null or empty text has no paragraphs; repeated rows
     of one id and text give one finding; null ids are kept; an empty table gives
-    an empty result; other columns are ignored.
+    an empty result; other columns are ignored.  Work is linear in a paragraph's
+    length, and nothing but findings is shuffled.
     """
-    spark, m = docs.sparkSession, model()
-    families, k = m["families"], len(m["families"])
+    m = model()
+    families, weights, last = m["families"], m["weights"], len(m["families"]) - 1
+    features = list(weights)
+    # A paragraph has to hold a feature that speaks for some family more than for prose, and each of these has a telling word.
+    raising = [g for g, w in weights.items() if max(w[:-1]) > w[-1]]
+    telling = sorted({max((w for w in g.split(" ") if w not in COMMON), key=lambda w: (len(w), w)) for g in raising})
+    has_word = lambda words: F.exists(words, lambda w: w.isin(telling))
+    has_feature = lambda words: F.exists(words, lambda w: w.isin(raising)) | F.exists(_pairs(words), lambda g: g.isin(raising))
+
     text = F.col(text_col).cast("string")
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_t")).where(_anchored(F.col("_t")))
-    lines = lines.select("doc_id", F.posexplode(F.split("_t", "\n", -1)).alias("line", "paragraph")).withColumn("_a", _anchored(F.col("paragraph")))
-    words = lines.withColumn("_w", F.regexp_extract_all(F.lower("paragraph"), F.lit(f"({WORD})"), F.lit(1)))
-    words = words.where(F.col("_a") | F.arrays_overlap(_runs("_w", LINK), F.array(*[F.lit(x) for x in _links()])))
-    parts = _bound("_w", lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(STRIDE)), lambda i: F.slice(w, i, WINDOW)))
-    # The upper-case marks are lower-case words here; "mit" and "mpl" as whole words are anchors of a window too.
-    parts = F.filter(parts, lambda p: _stemmed(F.array_join(p, " ")) | F.arrays_overlap(p, F.array(*[F.lit(m.lower()) for m in MARKS])))
-    parts = F.when(F.size("_w") > LONG, F.array_distinct(parts)).otherwise(F.array().cast("array<array<string>>"))
-    words = words.select("doc_id", "line", "paragraph", F.posexplode(F.concat(F.array("_w"), parts)).alias("_part", "_w"))
-    own = words.withColumn("_g", F.array_distinct(F.concat("_w", _runs("_w", 2))))
-    each = own.select("doc_id", "line", "paragraph", "_part", F.size("_g").alias("_n"), F.explode("_g").alias("g"))
-    met = each.join(F.broadcast(_weights(spark, m["table"])), "g", "left")  # the notices' n-grams, whatever the corpus
-    at = lambda c, i: F.coalesce(F.get(F.col(c), F.lit(i)), F.lit(0))
-    sums = met.groupBy("doc_id", "line", "paragraph", "_part").agg(F.max("_n").alias("_n"), *[F.sum(at("w", i)).alias(f"w{i}") for i in range(k)], *[F.sum(at("t", i)).alias(f"t{i}") for i in range(k)])
-    logits = F.array(*[(F.col(f"w{i}") / F.sqrt("_n") + F.lit(m["bias"][i])) / F.lit(m["heat"]) for i in range(k)])
-    scored = sums.withColumn("_z", logits).withColumn("_top", F.array_max("_z")).withColumn("_best", F.array_position("_z", F.col("_top")).cast("int") - 1)
-    scored = scored.withColumn("probability", 1 / F.aggregate("_z", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("_top"))))
-    known = (F.col("_best") < k - 1) & (F.col("probability") >= m["threshold"])
-    hits = F.get(F.array(*[F.col(f"t{i}") for i in range(k)]), F.col("_best")) / F.col("_n")
-    judged = scored.select("doc_id", "line", "paragraph", "_part", F.when(known, F.get(F.array(*[F.lit(f) for f in families]), F.col("_best"))).otherwise(UNKNOWN).alias("family"), "probability", hits.alias("similarity"), (known & (hits >= CONFIRM)).alias("confirmed"))
-    # The whole paragraph, unless only a window of it confirms.
-    best = judged.groupBy("doc_id", "line", "paragraph").agg(F.max_by(F.struct("family", "probability", "similarity", "confirmed"), F.struct("confirmed", F.col("_part") == 0, "probability", -F.col("_part"))).alias("_b"))
-    return best.select("doc_id", "line", "paragraph", "_b.*")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_t")).where(_anchored(F.col("_t")) | has_word(_words(F.col("_t"))))
+    lines = texts.select("doc_id", F.posexplode(F.split("_t", "\n", -1)).alias("line", "paragraph"))
+    lines = lines.withColumn("_a", _anchored(F.col("paragraph"))).withColumn("_w", _words(F.col("paragraph")))
+    lines = lines.where(F.col("_a") | has_word(F.col("_w")) & _bound(F.col("_w"), has_feature))
+
+    constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    table, bias = constant(list(weights.values()), "array<array<double>>"), constant(m["bias"], "array<double>")
+    names, places, templates = constant(features, "array<string>"), constant(families, "array<string>"), constant(m["templates"], "array<array<string>>")
+
+    def judged(words: Column, part: Column) -> Column:
+        """One part's verdict, in the order of preference: confirmed, the whole, the likelier, the first."""
+
+        def of_grams(grams: Column) -> Column:
+            hits = F.filter(grams, lambda g: g.isin(features))
+            sums = F.aggregate(hits, F.transform(bias, lambda b: F.lit(0.0)), lambda total, g: F.zip_with(total, F.element_at(table, F.array_position(names, g).cast("int")), lambda a, b: a + b))
+            logits = F.zip_with(sums, bias, lambda s, b: (s / F.sqrt(F.size(grams)) + b) / F.lit(m["heat"]))
+            return _bound(F.when(F.size(grams) > 0, logits).otherwise(bias), lambda z: of_logits(z, F.array_max(z), grams))
+
+        def of_logits(z: Column, top: Column, grams: Column) -> Column:
+            scale = F.aggregate(z, F.lit(0.0), lambda a, v: a + F.exp(v - top))
+            return _bound(F.struct((F.array_position(z, top).cast("int") - 1).alias("best"), (1 / scale).alias("p")), lambda x: of_best(x["best"], x["p"], grams))
+
+        def of_best(best: Column, p: Column, grams: Column) -> Column:
+            held = F.when(best < last, F.size(F.array_intersect(grams, F.get(templates, best))) / F.size(grams)).otherwise(0.0)
+            known = (best < last) & (p >= m["threshold"])
+            return _bound(held, lambda h: F.struct((known & (h >= CONFIRM)).alias("confirmed"), (part == 0).alias("whole"), p.alias("probability"), (-part).alias("part"), F.when(known, F.get(places, best)).otherwise(UNKNOWN).alias("family"), h.alias("similarity")))
+
+        return _bound(F.array_distinct(F.concat(words, _pairs(words))), of_grams)
+
+    starts = lambda w: F.transform(F.sequence(F.lit(1), F.size(w), F.lit(STRIDE)), lambda i: F.slice(w, i, WINDOW))
+    # Of a long paragraph, the windows with a feature; the upper-case marks are lower-case words here.
+    telltale = lambda p: F.exists(p, lambda w: w.isin([*telling, *[x.lower() for x in MARKS]])) | _stemmed(F.array_join(p, " "))
+    windows = F.array_distinct(F.transform(F.filter(_bound(F.col("_w"), starts), telltale), lambda p: F.array_join(p, " ")))  # as texts, which are hashed
+    windows = F.when(F.size("_w") > LONG, F.transform(windows, lambda p: F.split(p, " "))).otherwise(F.array().cast("array<array<string>>"))
+    parts = F.transform(F.concat(F.array("_w"), windows), judged)
+    # Exploded, so that the filter after it does not judge a second time.
+    best = lines.select("doc_id", "line", "paragraph", "_a", F.explode(F.array(F.array_max(parts))).alias("_b")).where(F.col("_a") | (F.col("_b.family") != UNKNOWN))
+    return best.select("doc_id", "line", "paragraph", "_b.family", "_b.probability", "_b.similarity", "_b.confirmed").distinct()
