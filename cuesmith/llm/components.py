@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, drop
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     now = cut(edges.where(F.col(left) != F.col(right)).select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).distinct())
     was = None
     while True:
-        now = cut(_stars(_stars(now, True), False))
+        before, now = now, cut(_stars(_stars(now, True), False))
+        drop(before)
         sums = now.select(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if sums == was:
             break

@@ -9,22 +9,20 @@ turn: their probabilities are averaged by their numbers of bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import text_buffer
+from .shingles import slices, text_buffer
 
 CLASSES, EMBED, FILTERS, WINDOW = 48, 12, 12, 256
 WIDTHS = (2, 3, 4)
 LOOK = max(WIDTHS) - 1
 #: The model is fitted on about so many labelled texts of each language, and a passage of so many characters of each, from a place that its id's hash chooses; predictions read whole texts.
 SAMPLE_TEXTS, SAMPLE_CHARS = 600, 1024
-#: At most so many languages are learned, the commonest first.
-LANGUAGES = 64
 #: Bytes that a task convolves at a time.
 SLICE = 1 << 18
 
@@ -151,21 +149,45 @@ def held_out(id_col: str = "doc_id"):
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
     """A net from a bounded, hash-chosen sample of the rows that are not held out
-    (about SAMPLE_TEXTS of each language); None if no row has a language and text."""
+    (about SAMPLE_TEXTS of each language, equal passages once; all languages are
+    learned); None if no row has a language and text."""
     rows = docs.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("l is not null and t is not null and t <> ''")
-    counts = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("l")).count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
+    counts = rows.groupBy("l").count().collect()  # a row for each language
     if not counts:
         return None
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("l") == r["l"], F.lit(min(1.0, SAMPLE_TEXTS / r["count"]))).otherwise(share)
+    shares = F.from_json(F.lit(json.dumps({r["l"]: min(1.0, SAMPLE_TEXTS / r["count"]) for r in counts})), "map<string, double>")
     place = F.pmod(F.xxhash64("i", F.lit(1)), F.greatest(F.lit(1), F.length("t") - SAMPLE_CHARS + 1)).cast("int") + 1
-    drawn = rows.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share * (1 << 20)).select("i", F.substring(F.col("t"), place, F.lit(SAMPLE_CHARS)).alias("t"), "l")
-    sample = drawn.limit(2 * SAMPLE_TEXTS * len(counts)).collect()
-    sample = sorted(sample, key=lambda r: (r["i"], r["t"], r["l"]))
+    drawn = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(1 << 20)) < F.element_at(shares, F.col("l")) * (1 << 20)).select("i", F.substring(F.col("t"), place, F.lit(SAMPLE_CHARS)).alias("t"), "l")
+    sample = sorted(drawn.distinct().collect(), key=lambda r: (r["i"] is None, r["i"] or 0, r["t"], r["l"]))
     return train([r["t"] for r in sample], [r["l"] for r in sample]) if sample else None
 
 
+def guessed(docs: DataFrame, net: ByteNet | None, text: Column) -> Column:
+    """struct<l: string, s: double> of a text: the net's likeliest language and its
+    probability, null and 0 without a net.  Other columns don't pass through Python."""
+    spread = docs.sparkSession.sparkContext.broadcast(net)  # some 20 kB, whatever the corpus
+
+    @F.arrow_udf("struct<l: string, s: double>")
+    def guess(texts: pa.Array) -> pa.Array:
+        model, langs, scores = spread.value, [], []
+        whole = pa.RecordBatch.from_arrays([texts], ["t"])
+        for rows in slices(whole, 0):
+            if model is None:
+                langs += [None] * len(rows)
+                scores += [0.0] * len(rows)
+            else:
+                p = model.texts(rows.column(0))
+                langs += [model.languages[i] for i in p.argmax(1)]
+                scores += p.max(1).tolist()
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["l", "s"])
+
+    return guess(text)
+
+
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every whole text.
 
@@ -173,22 +195,16 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
     row if there is no net; null ids are not held out.  Repeated rows get the
     same; an empty table gives an empty result; other columns are ignored.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(net)  # some 20 kB, whatever the corpus
+    text = F.col(text_col).cast("string")
+    seen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), has_letter(text).alias("letter"), guessed(docs, net, text).alias("g"))
+    sure = F.col("letter") & F.col("g.l").isNotNull()
+    return seen.select("doc_id", "held_out", F.when(sure, F.col("g.l")).otherwise("und").alias("lang_pred"), F.when(sure, F.col("g.s")).otherwise(0.0).alias("score"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = spread.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
-                if model is None:
-                    langs, scores = [None] * len(rows), np.zeros(len(rows))
-                else:
-                    p = model.texts(rows.column(1))
-                    langs, scores = [model.languages[i] for i in p.argmax(1)], p.max(1)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "letter", "l", "s"])
 
+def keep_identified(docs: DataFrame, net: ByteNet | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns unchanged, whose language is one of the net's
+    with a score of least or more; decided within the row, so nothing is shuffled.
+    Null texts, texts without a letter and, without a net, all rows go; repeated
+    rows are judged alike; an empty table stays empty."""
     text = F.col(text_col).cast("string")
-    seen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text, F.coalesce(held_out(id_col), F.lit(False)), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
-    seen = seen.mapInArrow(run, "doc_id long, held_out boolean, letter boolean, l string, s double")
-    sure = F.col("letter") & F.col("l").isNotNull()
-    return seen.select("doc_id", "held_out", F.when(sure, F.col("l")).otherwise("und").alias("lang_pred"), F.when(sure, F.col("s")).otherwise(0.0).alias("score"))
+    return docs.where(has_letter(text)).where(guessed(docs, net, text)["s"] >= least)

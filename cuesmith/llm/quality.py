@@ -87,19 +87,29 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated rows are judged alike; an empty table gives an empty result; other
     columns are ignored.
     """
-    by = ["_lang", "_source"]
-    pick = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_body"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")).alias("_lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("\0")).alias("_source"))
-    stats = _ratios(text_stats(pick, "_doc", "_body", by))
-    return _judge(stats.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))), by)
+    ratios = ["symbol_ratio", "dup_line_ratio", "repeat_ratio", "word_length"]
+    return _judged(docs, id_col, text_col, lang_col, source_col, []).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *ratios)
+
 
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of docs that quality_rules keeps, all columns unchanged.  Rows carry
+    their statistics and meet only the groups' few fences, so texts are not
+    shuffled while the fences are small enough for Spark to broadcast."""
+    return _judged(docs, id_col, text_col, lang_col, source_col, ["_row"]).where("kept").select("_row.*")
 
-def _judge(rows: DataFrame, by: list[str]) -> DataFrame:
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, keep: list[str]) -> DataFrame:
     from .shared import cut
 
-    rows = cut(rows)
+    by = ["_lang", "_source"]
+    group = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(name)
+    pick = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_body"), group(lang_col, "_lang"), group(source_col, "_source"), *[F.struct(*[F.col(c) for c in docs.columns]).alias(c) for c in keep])
+    stats = _ratios(text_stats(pick, "_doc", "_body", [*by, *keep]))
+    rows = cut(stats.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))))
     names = [*[_at(n, x) for n, (tail, _, _) in RATIOS.items() for x in (0.5, tail)], *[_at("word_length", x) for x in (0.25, 0.5, 0.75)]]
     # One group may hold a third of all rows: rows are dealt to SALTS parts of their group, and its one row of quantiles to each.
-    own = _quantiles(rows, by).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    # The quantiles are written first, so that the join is planned by their size.
+    own = cut(_quantiles(rows, by)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)))
     whole = _quantiles(rows, []).select(F.struct(*names)).scalar()  # one row, as a subquery
     met = rows.join(own, [*by, "_salt"], "left")
@@ -112,4 +122,4 @@ def _judge(rows: DataFrame, by: list[str]) -> DataFrame:
     within = F.abs(F.col("word_length") - q("word_length", 0.5)) <= HALVES * half
     for name, (tail, times, least) in RATIOS.items():
         within = within & (F.col(name) <= q(name, tail) + F.greatest(F.lit(times) * (q(name, tail) - q(name, 0.5)), F.lit(least)))
-    return met.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(within, F.lit(True))).alias("kept"), "symbol_ratio", "dup_line_ratio", "repeat_ratio", "word_length")
+    return met.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True)))

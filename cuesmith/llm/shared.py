@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset, as in
-    tests on one machine, a temporary one that is set for the session."""
+    """The folder named by ``spark.checkpoint.dir``.  Where that is unset, a
+    temporary one is set for the session if all of it runs on this machine; on a
+    cluster, whose executors would not see such a folder, it is an error."""
     conf = spark.sparkContext.getConf()
     place = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="cuesmith-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -28,6 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut made, once what was made from them has been cut too."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def parts(spark: SparkSession) -> int:
     """The cluster's number of shuffle partitions, set to suit the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
