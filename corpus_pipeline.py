@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept.
+
+Every stage but the last returns the columns of documents, whatever they are, and
+takes repeated rows, null values in any column and empty tables.
+"""
 
 from __future__ import annotations
 
@@ -8,39 +12,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesmith.llm import jaccard, language, packing, quality, secret_scan
-from cuesmith.llm.shared import cut, shared_folder
+from cuesmith.llm.shared import cut, drop, shared_folder
 
 #: A document is rejected by language ID if its language is unsure below this, or undetermined.
 LEAST_SCORE = 0.4
 
 
-def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among the verdicts' ids, all columns unchanged."""
-    return docs.join(verdicts.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language.identify(docs, language.fit(docs))
-    return _only(docs, found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))
+    """Rows whose text is in a language learned from docs, with LEAST_SCORE or more.
+
+    Rejected: null and empty texts, texts without a letter, and all rows if none
+    has both a language and a text.  Null ids and sources play no part; a null
+    language is not learned from.  Repeated rows stay or go together; of equal
+    scores the first language in order counts.  An empty table stays empty.
+    """
+    return language.keep_identified(docs, language.fit(docs), LEAST_SCORE)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, quality.quality_rules(docs).where("kept"))
+    """Rows that pass the quality rules, by the fences of their language and source.
+
+    Rejected: null, empty and very short texts.  A null language or source is a
+    group of its own; repeated rows stay or go together; a value on its fence
+    stays.  An empty table stays empty.
+    """
+    return quality.keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each component stays; of equal rows of one id, one."""
+    """The row with the smallest id of each component of near duplicates.
+
+    Of equal rows of one id, one stays; unlike rows of one id both stay, if it is
+    the smallest of its component.  A null id is never the smallest beside others;
+    among null ids alone all unlike texts stay.  A null or empty text is near
+    nothing and stays.  An empty table stays empty.
+    """
     found = jaccard.jaccard_components(docs)
-    kept = _only(docs, found.where("doc_id <=> component_id")).withColumn("_text", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    kept = found.where("doc_id <=> component_id").select(F.struct("doc_id").alias("_id")).distinct()
+    # Keyed by a struct, which equals itself when the id is null: one exchange serves the join and the copies.
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("_id"), F.xxhash64("text").alias("_text"), F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    return rows.join(kept, "_id", "left_semi").dropDuplicates(["_id", "_text"]).select("_row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with each secret in the text masked and n_chars counted anew.
+
+    A null text stays null, with a null count; an empty one stays empty.  Repeated
+    rows are masked alike; a null source is an empty path.  An empty table stays
+    empty.
+    """
     masked = secret_scan.redact_secrets(docs)
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each row: its place in a sequence of 4096 tokens.
+
+    A null or empty text is its end token alone; repeated rows are packed each on
+    its own; equal lengths take places by id and piece, null ids first.  An empty
+    table gives an empty result.
+    """
     return packing.best_fit_pack(docs)
 
 
@@ -57,9 +88,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn on documents, each written as Parquet and read again."""
+    """All stages in turn on documents, each written as Parquet and read again; a
+    stage's table is deleted when the next one's has been written."""
     shared_folder(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, made = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        drop(*made)
+        made = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
