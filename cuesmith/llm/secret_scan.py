@@ -1,32 +1,36 @@
 """Secret scan: candidate strings, and a random forest that drops false ones.
 
-Candidates are long runs of key-like bytes, found by numpy on the text buffer.
-The forest is trained from labelled findings (made from the formats below by a
-seeded generator) on a candidate's length, its character transitions, how much of
-it dictionary words cover, the path that it was found under, and the words beside it.
+Candidates are long runs of key-like bytes, found by numpy on the text buffer, and
+whatever a secret's name is given as its value, up to the next blank or quote.
+The forest is trained from labelled findings (made from public formats by a seeded
+generator) on a candidate's length, its character transitions, how much of it words
+of a public vocabulary cover, the path that it was found under, and the words beside it.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import re
 import string
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import text_buffer
+from .shingles import slices, text_buffer
 
 MASK = "[SECRET]"
 #: Bytes of a candidate; runs with a digit or one of =:, and those after a secret word, have candidates from LEAST on, others from LEAST_PLAIN on.
 KEYLIKE = string.ascii_letters + string.digits + "+/_-.~=:$"
 LEAST, LEAST_PLAIN = 8, 20
+#: Lengths of dictionary words that are looked for in a candidate.
+COVER = range(12, 3, -1)
 BESIDE = 48
 TREES, DEPTH, LEAF = 30, 9, 2
 #: Bytes of text that are searched at a time.
@@ -43,9 +47,11 @@ _KEY = np.zeros(256, bool)
 _KEY[list(KEYLIKE.encode())] = True
 _MARK = np.zeros(256, bool)
 _MARK[list(b"0123456789=:")] = True
-_COVER = re.compile("|".join(sorted((w for w in WORDS if len(w) > 2), key=len, reverse=True)))
 _SECRET = re.compile(r"(?<![a-z])(?:" + "|".join(SECRET_WORDS) + r")(?![a-z])")
 _SECRET_BYTES = re.compile(_SECRET.pattern.encode())
+#: A secret's name, and its value up to a blank, a quote or a bracket of a tag.
+_ASSIGNED = re.compile(rb"(?i)(?<![a-z])(?:" + "|".join(SECRET_WORDS).encode() + rb")[\"'`]?[ \t]{0,4}(?:=>|:=|[=:])[ \t]{0,4}[\"'`]?([^\s\"'`<>]+)")
+_MARKED = re.compile(rb"[=:]")
 #: A run is parted at each = and :, but = at the end of a part is its padding.
 _PART = re.compile(r"[^=:]+(?:=+(?=:|\Z))?")
 _FALSE = re.compile(r"(?<![a-z])(?:" + "|".join(FALSE_WORDS) + r")(?![a-z])")
@@ -57,6 +63,26 @@ _CLASS[list(string.ascii_uppercase.encode())] = 2
 _CLASS[list(string.digits.encode())] = 3
 
 
+@lru_cache(1)
+def dictionary(path: str | None = None) -> frozenset[str]:
+    """Whole words of a public vocabulary file, and WORDS."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokens = json.load(f)["model"]["vocab"]
+    return frozenset([*WORDS, *(w for t in tokens if t.endswith("</w>") and (w := t[:-4]).isascii() and w.isalpha() and len(w) in COVER)])
+
+
+def _covered(low: str) -> int:
+    """Characters within dictionary words, the longest from each place on."""
+    words, at, total = dictionary(), 0, 0
+    while at < len(low):
+        n = next((k for k in COVER if low[at : at + k] in words and at + k <= len(low)), 0) if low[at].isalpha() else 0
+        total += n
+        at += n or 1
+    return total
+
+
 def describe(value: str, before: str, after: str, path: str) -> list[float]:
     """The features of one candidate."""
     raw = np.frombuffer(value.encode(), np.uint8)
@@ -66,7 +92,7 @@ def describe(value: str, before: str, after: str, path: str) -> list[float]:
     kinds = _CLASS[raw]
     pairs = np.bincount(kinds[:-1] * 4 + kinds[1:], minlength=16) / max(1, n - 1)
     low = value.lower()
-    covered = sum(m.end() - m.start() for m in _COVER.finditer(low)) / n
+    covered = _covered(low) / n
     before, after = before.lower(), after.lower()
     return [
         float(min(n, 512)), float(-(share * np.log2(share)).sum()), *pairs.tolist(), len(share) / n, covered,
@@ -83,21 +109,25 @@ def labelled_findings(each: int = 40, seed: int = 11) -> list[tuple[str, str, st
     syllables = ["th", "on", "er", "re", "an", "in", "ti", "es", "or", "te", "ou", "en", "sch", "ung", "eau", "ción", "la", "de"]
     prose = lambda: " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(5))
     hexes, upper, mixed = "0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_letters + string.digits
-    keyed = lambda: prose() + " " + r.choice(["password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "PASSWORD", "Token"]) + r.choice(["=", ": ", ' = "', "='", " = ", ":", '="'])
+    keyed = lambda: prose() + " " + r.choice(["", "", "db_", "aws_", "MY_", "client-"]) + r.choice(["password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "PASSWORD", "Token", "pwd", "secret_key"]) + r.choice(["=", ": ", ' = "', "='", " = ", ":", '="', '": "'])
     plain = lambda: prose() + " "
     near = lambda: prose() + " " + r.choice(FALSE_WORDS) + r.choice([" ", ": ", "=", " = "])
-    paths = lambda: r.choice(["src0", "src1", "web/crawl", "app/config", "deploy/prod.env", "forum"])
+    paths = lambda: r.choice(["", "web/crawl", "app/config", "deploy/prod.env", "forum", "notes", "repo/main"])
+    leet = lambda w: "".join({"a": "4", "e": "3", "o": "0", "i": "1", "s": "$"}.get(c, c) if r.random() < 0.6 else c for c in w)
+    coined = lambda n: "".join(r.choice(syllables[:13]) for _ in range(n))
     out: list[tuple[str, str, str, str, int]] = []
     for _ in range(each):
         yes = [
-            ("AKIA" + pick(upper[:26] + "234567", 16), r.choice([plain, plain, keyed])()), ("AKIA" + pick(upper, 16), plain()), ("AKIA" + pick(string.ascii_uppercase, 16), plain()), ("ghp_" + pick(mixed, 36), r.choice([plain, keyed])()), ("sk_live_" + pick(mixed, 24), r.choice([plain, keyed])()),
-            (pick(hexes, r.choice([16, 18, 20, 24, 32])), keyed()), (pick(hexes, r.choice([32, 40, 40, 64])), keyed()), (pick(mixed, r.randint(10, 40)), keyed()), (pick(mixed + "+/", r.choice([32, 40, 64])), keyed()), ("AIza" + pick(mixed + "_-", 35), plain()),
-            ("eyJ" + pick(mixed, 30) + "." + pick(mixed, 60) + "." + pick(mixed, 43), plain()), ("xoxb-" + pick(string.digits, 12) + "-" + pick(mixed, 24), r.choice([plain, keyed])()),
+            (r.choice(["AKIA", "ASIA"]) + pick(upper[:26] + "234567", 16), r.choice([plain, plain, keyed])()), ("AKIA" + pick(upper, 16), plain()), ("AKIA" + pick(string.ascii_uppercase, 16), plain()), (r.choice(["ghp_", "gho_"]) + pick(mixed, 36), r.choice([plain, keyed])()), ("sk_live_" + pick(mixed, 24), r.choice([plain, keyed])()),
+            (pick(hexes, r.randint(12, 31)), keyed()), (pick(hexes, r.randint(32, 64)), keyed()), (pick(mixed, r.randint(10, 40)), keyed()), (pick(mixed + "+/", r.choice([32, 40, 64])), keyed()), ("AIza" + pick(mixed + "_-", 35), plain()),
+            ("eyJ" + pick(mixed, 30) + "." + pick(mixed, 60) + "." + pick(mixed, 43), plain()), ("xoxb-" + pick(string.digits, 12) + "-" + pick(mixed, 24), r.choice([plain, keyed])()), (r.choice(["glpat-", "npm_", "hf_"]) + pick(mixed, r.randint(20, 36)), r.choice([plain, keyed])()),
+            (leet(coined(3)).capitalize() + r.choice("!@#$%&*-_") + pick(string.digits, r.randint(1, 4)) + r.choice(["", "!", "x", "!z"]), keyed()), (pick(mixed + "!@#$%^&*()-_=+", r.randint(8, 24)), keyed()), (pick(mixed, r.randint(6, 9)) + r.choice(string.digits), keyed()), (leet(word()) + pick(string.digits, r.randint(2, 4)) + r.choice("!@#$%&*"), keyed()),
         ]
         no = [
             (pick(hexes, 40), near()), (pick(hexes, r.choice([32, 64])), near()), (pick(hexes, 40), plain()), ("-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)), plain()), (".".join(str(r.randint(0, 255)) for _ in range(4)), plain()), (pick(string.digits, r.choice([8, 10, 12, 13, 16, 19])), plain()), (pick(string.digits, 16), near()),
             (f"{word()}.{r.randint(1, 99)}", plain()), (f"v{r.randint(0, 9)}.{r.randint(0, 20)}.{r.randint(0, 99)}-rc{r.randint(1, 9)}", plain()), (f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", plain()), (f"{word()}_{word()}_{word()}_{r.randint(1, 99)}", plain()), ("/".join(word() for _ in range(4)) + f"/{r.randint(1, 999)}", plain()),
-            (f"{word()}_{word()}_here", keyed()), (r.choice(["changeme", "password", "example", "yourpassword", "dummytoken", "secret"]) + r.choice(["123", "1", "_here", "2024", "0000"]), keyed()), ("x" * r.randint(8, 40), keyed()), (r.choice(string.ascii_letters + "0") * r.randint(8, 32), keyed()), (prose().replace(" ", "").encode("ascii", "ignore").decode()[:40].ljust(20, "e"), plain()), (f"{word()}:{word()}{r.randint(1, 9)}", plain()), (f"{word()}-{word()}-{word()}-{r.randint(1, 9999)}", plain()), (f"{word()}={r.randint(10, 99999999)}", plain()), (f"{r.randint(1, 12)}:{r.randint(10, 59)}:{r.randint(10, 59)}", plain()), (f"+{r.randint(1, 99)}-{pick(string.digits, 3)}-{pick(string.digits, 7)}", plain()), (f"www.{word()}{r.randint(1, 9)}.com/{word()}", plain()),
+            (f"{word()}_{word()}_here", keyed()), (r.choice(["changeme", "password", "example", "yourpassword", "dummytoken", "secret"]) + r.choice(["", "_here", "-here"]), keyed()), (r.choice("x*.") * r.randint(3, 40), keyed()), (r.choice(string.ascii_letters + "0") * r.randint(8, 32), keyed()), (prose().replace(" ", "").encode("ascii", "ignore").decode()[:40].ljust(20, "e"), plain()), (f"{word()}:{word()}{r.randint(1, 9)}", plain()), (f"{word()}-{word()}-{word()}-{r.randint(1, 9999)}", plain()), (f"{word()}={r.randint(10, 99999999)}", plain()), (f"{r.randint(1, 12)}:{r.randint(10, 59)}:{r.randint(10, 59)}", plain()), (f"+{r.randint(1, 99)}-{pick(string.digits, 3)}-{pick(string.digits, 7)}", plain()), (f"www.{word()}{r.randint(1, 9)}.com/{word()}", plain()),
+            (r.choice(["required", "optional", "hidden", "invalid", "expired", "string", "none", "null", "undefined", "mandatory", "forgotten", "needed", "missing", "wrong", "the", "your", "please", "must", "enter"]), keyed()), (coined(r.randint(1, 4)), keyed()), (r.choice(["${{{}}}", "${}", "%{}%", "{{{{{}}}}}", "os.environ[{}]", "process.env.{}", "get_{}()", "<{}>", "self.{}", "config.{}"]).format(word().upper() if r.random() < 0.5 else word()), keyed()), (f"{word()}.{word()}.{word()}", keyed()), (str(r.randint(0, 9999)), keyed()),
         ]
         out += [(v, b, " " + prose(), paths(), 1) for v, b in yes] + [(v, b, " " + prose(), paths(), 0) for v, b in no]
         out.append((pick(mixed, r.randint(16, 40)), keyed(), " " + prose(), r.choice(PATH_WORDS) + "/" + word(), 0))
@@ -185,24 +215,45 @@ def _runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int
         lower = data[lead:to].tobytes().lower() if len(plain) else b""
         least = np.maximum(offsets[rows], starts - BESIDE) - lead
         for i in plain.tolist():
-            kept[i] = _SECRET_BYTES.search(lower, int(least[i]), int(starts[i]) - lead) is not None
+            kept[i] = _SECRET_BYTES.search(lower[int(least[i]) : int(starts[i]) - lead]) is not None
         yield from zip(rows[kept].tolist(), starts[kept].tolist(), ends[kept].tolist(), strict=True)
         at = to
 
 
+def _is_apart(value: bytes) -> bool:
+    """Whether parts of key-like runs would miss some of an assigned value."""
+    return bool(value) and (any(not _KEY[b] for b in value) or len(value) < LEAST and not _MARKED.search(value))
+
+
+def _near(spans: list[tuple[int, int]], place: int) -> int:
+    """Where the spans that may reach over place begin: they are in order and apart."""
+    return max(0, bisect(spans, (place, 1 << 62)) - 1)
+
+
 def find(texts: pa.Array, paths: list[str | None]) -> list[tuple[int, int, int, str, float]]:
     """(row, start, length, value, score) of all candidates; start in code points."""
     data, offsets = text_buffer(texts)
-    found, features = [], []
-    for row, start, end in _runs(data, offsets):
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for row in range(len(texts)):
         first, last = int(offsets[row]), int(offsets[row + 1])
+        for m in _ASSIGNED.finditer(data[first:last].tobytes()):
+            value = m.group(1).rstrip(b".,;:)]}")
+            if _is_apart(value):
+                spans.setdefault(row, []).append((first + m.start(1), first + m.start(1) + len(value)))
+    for row, start, end in _runs(data, offsets):
+        own = spans.get(row, [])
         for part in _PART.finditer(data[start:end].tobytes().decode()):
             value = part.group().rstrip(".")
-            if len(value) < LEAST:
-                continue
             place = start + part.start()
+            if len(value) >= LEAST and not any(s < place + len(value) and place < e for s, e in own[_near(own, place) :][:2]):
+                spans.setdefault(-1 - row, []).append((place, place + len(value)))
+    found, features = [], []
+    for row in sorted({r if r >= 0 else -1 - r for r in spans}):
+        first, last = int(offsets[row]), int(offsets[row + 1])
+        for place, end in sorted(spans.get(row, []) + spans.get(-1 - row, [])):
+            value = data[place:end].tobytes().decode()
             before = data[max(first, place - BESIDE) : place].tobytes().decode(errors="ignore")
-            after = data[place + len(value) : min(last, place + len(value) + BESIDE)].tobytes().decode(errors="ignore")
+            after = data[end : min(last, end + BESIDE)].tobytes().decode(errors="ignore")
             found.append((row, place, len(value), value))
             features.append(describe(value, before, after, paths[row] or ""))
     if not found:
@@ -227,8 +278,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                rows = batch.slice(at, 1024)
+            for rows in slices(batch, 1):
                 ids = rows.column(0).to_pylist()
                 out = [(ids[r], s, n, v, p, p >= 0.5) for r, s, n, v, p in find(rows.column(1), rows.column(2).to_pylist())]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_()]
@@ -239,21 +289,29 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """docs with each secret in the text replaced by MASK; all columns stay, null
-    texts stay null."""
-
-    @F.pandas_udf("string")
-    def masked(text: pd.Series, path: pd.Series) -> pd.Series:
-        out = text.copy()
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for row, start, n, _, score in find(pa.array(text, pa.string(), from_pandas=True), path.where(path.notna(), None).tolist()):
-            if score >= 0.5:
-                spans.setdefault(row, []).append((start, n))
-        for row, own in spans.items():
-            value = text.iloc[row]
-            for start, n in reversed(own):
-                value = value[:start] + MASK + value[start + n :]
-            out.iloc[row] = value
-        return out
+    """docs with each secret in the text replaced by MASK; all columns stay.
+
+    Null and empty texts stay as they are; a null path counts as empty; repeated
+    rows are masked alike; an empty table stays empty.  Columns of any other names
+    pass by unread.
+    """
+
+    @F.arrow_udf("string")
+    def masked(text: pa.Array, path: pa.Array) -> pa.Array:
+        out: list[str | None] = []
+        for rows in slices(pa.RecordBatch.from_arrays([text, path], ["t", "p"]), 0):
+            values = rows.column(0).to_pylist()
+            spans: dict[int, list[tuple[int, int]]] = {}
+            for row, start, n, _, score in find(rows.column(0), rows.column(1).to_pylist()):
+                if score >= 0.5:
+                    spans.setdefault(row, []).append((start, n))
+            for row, own in spans.items():
+                value, pieces, at = values[row], [], 0
+                for start, n in own:
+                    pieces += [value[at:start], MASK]
+                    at = start + n
+                values[row] = "".join(pieces) + value[at:]
+            out += values
+        return pa.array(out, pa.string())
 
     return docs.withColumn(text_col, masked(F.col(text_col).cast("string"), F.col(path_col).cast("string")))
