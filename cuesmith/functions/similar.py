@@ -78,9 +78,38 @@ def level(score: Column, threshold: float, floor: float = 0.78) -> Column:
     return F.when(score >= threshold, "high").when(score >= max(floor, threshold - 0.10), "medium").otherwise("low")
 
 
-def task_fingerprint(*parts: Column) -> Column:
-    """SHA-1 of the parts as canonical JSON text (keys in order of place)."""
-    return F.sha1(F.to_json(F.array(*[p.cast("string") for p in parts])))
+def audio_similarity(a: Column, b: Column) -> Column:
+    """Of two structs (fingerprint, envelope, error): by fingerprints if both have
+    one, else by envelopes; -1 where they can't be compared."""
+    filled = lambda name: (F.size(F.coalesce(a[name], F.array())) > 0) & (F.size(F.coalesce(b[name], F.array())) > 0)
+    failed = (F.coalesce(a["error"], F.lit("")) != "") | (F.coalesce(b["error"], F.lit("")) != "")
+    return F.when(failed, -1.0).when(filled("fingerprint"), fingerprint_similarity(a["fingerprint"], b["fingerprint"])).when(filled("envelope"), envelope_similarity(a["envelope"], b["envelope"])).otherwise(-1.0)
+
+
+# Names of a task's inputs in its canonical form, and that form's tag.
+TASK_KEYS = ("crf", "encoder_preference", "keep_original_audio", "mirror", "pitch", "preset", "schema", "speed", "style", "text", "video", "voice_id", "zoom_percent")
+TASK_SCHEMA = "bulk_dub@v2"
+
+
+def _quoted(text: Column) -> Column:
+    """A text as JSON: to_json of a list of it, without the brackets."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def task_fingerprint(path: Column, size: Column, modified: Column, text: Column, voice: Column, speed: Column, pitch: Column | None = None, style: Column | None = None, keep_audio: Column | None = None, mirror: Column | None = None, zoom: Column | None = None, encoder: Column | None = None, preset: Column | None = None, crf: Column | None = None) -> Column:
+    """SHA-1 of a task's inputs as JSON, keys in order, with ", " and ": " between
+    values: equal for equal inputs, whatever wrote them.  speed counts to four
+    places, the text without blanks around it."""
+    or_ = lambda c, v: F.lit(v) if c is None else c
+    whole = lambda c: c.cast("long").cast("string")
+    values = {
+        "crf": whole(or_(crf, 20)), "encoder_preference": _quoted(or_(encoder, "auto")), "keep_original_audio": or_(keep_audio, False).cast("string"), "mirror": or_(mirror, True).cast("string"),
+        "pitch": whole(or_(pitch, 0)), "preset": _quoted(or_(preset, "medium")), "schema": F.lit(f'"{TASK_SCHEMA}"'), "speed": F.bround(speed.cast("double"), 4).cast("string"), "style": _quoted(or_(style, "general")),
+        "text": _quoted(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\v\f\r"))), "video": F.concat(F.lit("["), _quoted(path), F.lit(", "), whole(size), F.lit(", "), whole(modified), F.lit("]")), "voice_id": _quoted(voice), "zoom_percent": whole(or_(zoom, 130)),
+    }
+    pairs = [F.concat(F.lit(f'"{k}": '), values[k]) for k in TASK_KEYS]
+    return F.sha1(F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}")))
 
 
 def machine_fingerprint(*parts: Column) -> Column:

@@ -11,8 +11,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+BLANKS = " \t\n\v\f\r"
 # Marks between phrases, and openings of a line that hold a viewer.
 PHRASE_MARKS = "，,。．.！!？?；;：:、…\n"
+CLAUSE_MARKS = "。！？!?；;，,、"
 HOOKS = ("反转", "没想到", "居然", "秘密", "真相", "结果", "第一", "教你", "千万别", "警告")
 DRAMA = ("反转", "高能", "秘密", "证据", "救命", "背叛", "复仇", "真相", "打脸", "崩溃", "冲突", "误会", "威胁", "求饶", "哭", "笑")
 
@@ -48,9 +50,20 @@ def best_category(scores: dict[str, Column], neutral: str = "neutral") -> tuple[
 
 
 def word_positions(text: Column, word: str) -> Column:
-    """All places (from 0) where the word starts, overlapping ones too."""
-    n = len(word)
-    return F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - n, F.lit(0))), lambda i: F.substr(text, i + 1, F.lit(n)) == word)
+    """All places (from 0) where the word starts, overlapping ones too.
+
+    The text is parted before each of them by a lookahead; a place is the length
+    of the parts before it, so work follows the text's length."""
+    pattern = "(?=" + re.escape(word) + ")"
+    start = F.struct(F.array().cast("array<int>").alias("found"), F.lit(0).alias("at"))
+    parts = F.split(text, pattern, -1)
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(F.concat(acc["found"], F.array(acc["at"])).alias("found"), (acc["at"] + F.length(x)).alias("at"))
+
+    # The first part, even if empty, stands before the first place unless the text begins with the word.
+    places = F.aggregate(parts, start, step, lambda a: a["found"])
+    return F.when(F.startswith(text, F.lit(word)), F.filter(places, lambda i, k: (k == 0) | (i > 0))).otherwise(F.slice(places, 2, F.size(places)))
 
 
 def lexicon_hits(text: Column, lexicon: dict[str, list[str]]) -> Column:
@@ -88,7 +101,7 @@ def phrases(line: Column, marks: str = PHRASE_MARKS) -> Column:
 
 
 def script_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n", -1), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
 
 
 def wrap(text: Column, width: int, most: int) -> Column:
@@ -99,9 +112,13 @@ def wrap(text: Column, width: int, most: int) -> Column:
     return F.when(n > most, last).otherwise(pieces)
 
 
+# Fixed value: what a folder's name may start with before its own words.
+NAME_LEAD = r"^[\d\s._\-—、·）)（(]+"
+
+
 def clean_folder_name(name: Column) -> Column:
     """Without the number and marks that a name starts with."""
-    return F.trim(F.regexp_replace(name, r"^[\d\s._\-—、·）)（(]+", ""))
+    return F.trim(F.regexp_replace(name, NAME_LEAD, ""))
 
 
 def name_score(name: Column, line: Column) -> Column:
@@ -143,14 +160,31 @@ def infer_seconds(text: Column, default: float) -> Column:
     return F.when(m != "", m.try_cast("double") * 60).when(s != "", s.try_cast("double")).otherwise(default)
 
 
-def packed_lines(sentences: Column, most: int) -> Column:
-    """Sentences joined while they fit in `most` characters; longer ones are cut."""
-    cut = F.flatten(F.transform(sentences, lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(s) / most).cast("int") - 1, F.lit(0))), lambda i: F.substr(s, i * most + 1, F.lit(most)))))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+def _packed(parts: Column, most: int, between: str) -> Column:
+    """Parts joined while their own characters, without those between them, are at most `most`."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = F.length(acc["open"]) + F.length(x) + F.when(acc["open"] == "", 0).otherwise(1) <= most
-        joined = F.when(acc["open"] == "", x).otherwise(F.concat(acc["open"], F.lit(" "), x))
-        return F.struct(F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"), F.when(fits, joined).otherwise(x).alias("open"))
+        full = (F.size(acc["open"]) > 0) & (acc["n"] + F.length(x) > most)
+        closed = F.when(full, F.concat(acc["done"], F.array(F.array_join(acc["open"], between)))).otherwise(acc["done"])
+        held = F.when(full, F.array(x)).otherwise(F.concat(acc["open"], F.array(x)))
+        return F.struct(closed.alias("done"), held.alias("open"), (F.when(full, 0).otherwise(acc["n"]) + F.length(x)).alias("n"))
+
+    return F.aggregate(parts, start, step, lambda a: F.when(F.size(a["open"]) == 0, a["done"]).otherwise(F.concat(a["done"], F.array(F.array_join(a["open"], between)))))
+
+
+def _cut_long(line: Column, most: int) -> Column:
+    """A long line's pieces: clauses that end with a mark, packed; a longer clause is cut anywhere."""
+    clauses = F.filter(F.split(line, f"(?<=[{CLAUSE_MARKS}])", -1), lambda x: x != "")
+    # Every full piece of `most` characters and the rest, by one pattern: places in a text are found in turn.
+    return F.flatten(F.transform(_packed(clauses, most, ""), lambda p: F.regexp_extract_all(p, F.lit(f"(?s)(.{{1,{most}}})"), F.lit(1))))
+
 
-    return F.aggregate(cut, start, step, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
+def packed_lines(text: Column, most: int) -> Column:
+    """A script's lines in chunks of at most `most` characters, line feeds between
+    them not counted; lines over that are first cut at marks, then anywhere."""
+    lines = script_lines(text)
+    if most <= 0:
+        return F.when(F.size(lines) > 0, F.array(F.array_join(lines, "\n"))).otherwise(lines)
+    parts = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > most, _cut_long(x, most)).otherwise(F.array(x))))
+    return _packed(parts, most, "\n")

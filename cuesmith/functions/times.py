@@ -64,11 +64,24 @@ def sync_strategy(audio: Column, video: Column, anchor: str = "head") -> Column:
     return F.when(F.abs(gap) <= 0.1, "as_is").when(gap < 0, trim).when(gap <= audio * 0.15, "slow").otherwise("freeze")
 
 
-def tempo_chain(speed: Column, least: float = 0.5, most: float = 2.0) -> Column:
-    """Factors within [least, most] whose product is the speed, equal but the last."""
-    n = F.when(speed > most, F.floor(F.log(speed) / F.log(F.lit(most)) - 1e-12)).when(speed < least, F.floor(F.log(speed) / F.log(F.lit(least)) - 1e-12)).otherwise(0).cast("int")
-    base = F.when(speed > most, F.lit(most)).otherwise(F.lit(least))
-    return F.concat(F.array_repeat(base, n), F.array(speed / F.pow(base, n)))
+def tempo_chain(speed: Column) -> Column:
+    """Factors of 0.5 to 2 whose product is the speed, which is brought within 0.25
+    to 4; whole factors first, the last one to four places, 1.0 for no change."""
+    s = F.least(F.greatest(speed.cast("double"), F.lit(0.25)), F.lit(4.0))
+    return F.when(s > 2, F.array(F.lit(2.0), F.bround(s / 2, 4))).when(s < 0.5, F.array(F.lit(0.5), F.bround(s / 0.5, 4))).otherwise(F.array(F.bround(s, 4)))
+
+
+def strict_tempo_chain(speed: Column, least: float = 0.5, most: float = 100.0) -> Column:
+    """Factors of `least` to `most` with six places as text, none at a speed of 1; a
+    speed that is no positive finite number fails the query."""
+    near, s = 1e-3, speed.cast("double")
+    count = lambda edge, by: F.greatest(F.ceil(F.log(s / edge) / F.log(F.lit(by)) - 1e-12), F.lit(0))
+    up, down = F.when(s > 1, count(most + near, most)).otherwise(0), F.when(s < 1, count(least - near, least)).otherwise(0)
+    rest = s / F.pow(F.lit(most), up) / F.pow(F.lit(least), down)
+    six = lambda x: F.format_string("%.6f", x)
+    chain = F.concat(F.array_repeat(six(F.lit(most)), up.cast("int")), F.array_repeat(six(F.lit(least)), down.cast("int")), F.when(F.abs(rest - 1) >= near, F.array(six(rest))).otherwise(F.array().cast("array<string>")))
+    bad = s.isNull() | F.isnan(s) | (s <= 0) | (s == float("inf"))
+    return F.when(bad, F.raise_error(F.concat(F.lit("no speed: "), F.coalesce(speed.cast("string"), F.lit("null")))).cast("array<string>")).otherwise(chain)
 
 
 def backoff(attempt: Column, base: float = 1.0, cap: float = 30.0, jitter: float = 0.2, seed: Column | None = None) -> Column:

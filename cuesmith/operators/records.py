@@ -186,9 +186,9 @@ def unfinished_session(items: DataFrame, session: str, created: str, pending: Co
     return items.where(pending).groupBy(by).agg(F.max_by(session, F.struct(created, session)).alias(session))
 
 
-def retained(jobs: DataFrame, owner: str, at: str, finished: Column, now: float, ttl: float, most: int) -> DataFrame:
+def retained(jobs: DataFrame, owner: str, at: str, finished: Column, age: Column, ttl: float, most: int) -> DataFrame:
     """Unfinished jobs, and of the finished ones those within ttl, at most the newest `most` of each owner."""
-    young = jobs.withColumn("_f", finished).where(~F.col("_f") | (now - F.col(at) <= ttl))
+    young = jobs.withColumn("_f", finished).where(~F.col("_f") | (age <= ttl))
     nth = F.row_number().over(Window.partitionBy(owner, "_f").orderBy(F.desc(at)))
     return young.withColumn("_k", nth).where(~F.col("_f") | (F.col("_k") <= most)).drop("_f", "_k")
 

@@ -27,30 +27,34 @@ def even_split(df: DataFrame, track: str, order: str, total: str) -> DataFrame:
 
 def quota_durations(lines: DataFrame, cues: DataFrame, track: str) -> DataFrame:
     """Durations of a track's lines by the time that their share of characters
-    takes on its cues.
+    takes on its cues, in milliseconds; together they are the total.
 
     lines: track, index, chars, total (seconds); cues: track, start, end, chars.
-    A line's end is where the cues' running characters reach its quota, linear
-    within a cue; a gap between cues belongs to the line before it, ends never go
-    back, and the last line ends at the total.
+    A line's quota is its share of the cues' characters as a whole number, 1 at
+    least.  It ends where the cues' running characters reach the quotas so far:
+    within a cue by their part of it, with a cue at that cue's end, so that the
+    gap after it is the next line's; beyond the last cue at its end.  Ends never go
+    back, and the last line ends at the total.  Cues without characters count for
+    nothing; tracks without others give no rows.
     """
     by = Window.partitionBy(track)
     run = lambda order: by.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    cued = cues.withColumns({"cum": F.sum("chars").over(run("start")), "all": F.sum("chars").over(by)}).select(track, F.col("start").alias("c_start"), F.col("end").alias("c_end"), F.col("chars").alias("c_chars"), "cum", "all")
-    quota = lines.withColumns({"own": F.sum("chars").over(run("index")), "whole": F.sum("chars").over(by)})
-    first_cue = cued.groupBy(track).agg(F.max("all").alias("all"))
-    want = quota.join(first_cue, track).withColumn("want", F.col("own") * F.col("all") / F.col("whole"))
-    met = want.join(cued.drop("all"), track).where((F.col("cum") >= F.col("want") - 1e-9) & (F.col("cum") - F.col("c_chars") < F.col("want") - 1e-9))
-    at = F.col("c_start") + (F.col("want") - (F.col("cum") - F.col("c_chars"))) / F.col("c_chars") * (F.col("c_end") - F.col("c_start"))
-    after = cued.select(F.col(track).alias("_track"), F.col("c_start").alias("n_start"), (F.col("cum") - F.col("c_chars")).alias("n_before"))
-    # A quota that ends with a cue ends where the next one starts.
-    joined = met.withColumn("at", at).join(after, [F.col(track) == F.col("_track"), F.abs(F.col("want") - F.col("n_before")) < 1e-9], "left").drop("_track")
-    ends = joined.withColumn("stop", F.coalesce("n_start", "at"))
-    last = F.row_number().over(by.orderBy(F.desc("index"))) == 1
-    ends = ends.withColumn("stop", F.when(last, F.col("total")).otherwise(F.least("stop", "total")))
-    ends = ends.withColumn("stop", F.max("stop").over(run("index")))
+    cued = cues.where("chars > 0").withColumn("cum", F.sum("chars").over(run("start"))).select(track, F.col("start").alias("c_start"), F.col("end").alias("c_end"), F.col("chars").alias("c_chars"), "cum")
+    whole = cued.groupBy(track).agg(F.max("cum").alias("all"), F.max_by("c_end", "cum").alias("c_last"))
+    own = lines.withColumn("script", F.sum("chars").over(by)).join(whole, track)
+    own = own.withColumn("quota", F.greatest(F.lit(1), F.bround(F.col("all") * F.col("chars") / F.col("script"))).cast("long"))
+    own = own.withColumn("want", F.sum("quota").over(run("index"))).select(F.col(track).alias("_track"), "index", "total", "want", "c_last")
+    met = own.join(cued, [F.col("_track") == F.col(track), F.col("want") <= F.col("cum"), F.col("want") > F.col("cum") - F.col("c_chars")], "left")
+    part = (F.col("want") - (F.col("cum") - F.col("c_chars"))) / F.col("c_chars")
+    at = F.when(F.col("want") == F.col("cum"), F.col("c_end")).otherwise(F.col("c_start") + part * (F.col("c_end") - F.col("c_start")))
+    ends = met.select(F.col("_track").alias(track), "index", "total", F.coalesce(at, F.col("c_last")).alias("stop"))
+    is_last = F.row_number().over(by.orderBy(F.desc("index"))) == 1
+    ends = ends.withColumn("is_last", is_last).withColumn("stop", F.when(F.col("is_last"), F.col("total")).otherwise(F.least("stop", "total")))
+    ends = ends.withColumn("stop", F.greatest(F.max("stop").over(run("index")), F.lit(0.0)))
     before = F.lag("stop", 1, 0.0).over(by.orderBy("index"))
-    return ends.select(track, "index", (F.col("stop") - before).alias("duration"))
+    timed = ends.withColumn("duration", F.bround(F.col("stop") - before, 3))
+    drift = F.bround(F.col("total") - F.sum("duration").over(by), 3)
+    return timed.select(track, "index", F.when(F.col("is_last"), F.bround(F.col("duration") + drift, 3)).otherwise(F.col("duration")).alias("duration"))
 
 
 def quantise_frames(df: DataFrame, track: str, order: str, duration: str, fps: int, total: str) -> DataFrame:
@@ -168,7 +172,7 @@ def round_robin(df: DataFrame, track: str, order: str, matched: Column, n: int)
 
 
 def phrase_times(phrases: DataFrame, entry: str, place: str, least: float = 0.4) -> DataFrame:
-    """start and end of an entry's phrases, by their share of its characters.
+    """start and end of an entry's phrases, by their share of its characters, to the millisecond.
     Where all could have `least` seconds, each gets them: what the short ones
     gain is taken from the others in proportion to their surplus.
 
@@ -185,4 +189,4 @@ def phrase_times(phrases: DataFrame, entry: str, place: str, least: float = 0.4)
     till = F.col("start") + F.sum("d").over(by.orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
     d = d.withColumn("stop", F.when(F.col(place) == F.col("n") - 1, F.col("end")).otherwise(F.least("end", till)))
     began = F.coalesce(F.lag("stop").over(by.orderBy(place)), F.col("start"))
-    return d.withColumn("began", began).select(entry, place, F.col("began").alias("start"), F.col("stop").alias("end"))
+    return d.withColumn("began", began).select(entry, place, F.bround("began", 3).alias("start"), F.bround("stop", 3).alias("end"))

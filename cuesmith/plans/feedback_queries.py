@@ -163,10 +163,12 @@ def caption_map(spark, sf_dir):
     return mt.first_of_tables([a, b], "key", "ord")
 
 
-@query("s17_prefer_source", "SELECT c_custkey AS id, 'second' AS origin FROM customer")
+@query("s17_prefer_source", "WITH f AS (SELECT c_custkey AS id, 'first' AS origin FROM customer WHERE c_acctbal > 9000), s AS (SELECT o_orderkey AS id, 'second' AS origin FROM orders) SELECT * FROM f UNION ALL SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM f)")
 def prefer_source(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    return mt.prefer_source([c.where("c_custkey < 0").select(F.col("c_custkey").alias("id"), F.lit("first").alias("origin")), c.select(F.col("c_custkey").alias("id"), F.lit("second").alias("origin"))])
+    """The first table that has rows: well-filled accounts, else all orders."""
+    rich = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("id"), F.lit("first").alias("origin"))
+    none = rich.where("id < 0")
+    return mt.prefer_source([none, rich, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit("second").alias("origin"))])
 
 
 _ALLOC = "WITH a AS (SELECT c_nationkey AS g, c_custkey AS account, c_custkey % 3 AS n FROM customer WHERE c_custkey % 3 > 0), s AS (SELECT g, account, row_number() OVER (PARTITION BY g ORDER BY account, i) AS slot FROM a, unnest(range(n)) t(i)), v AS (SELECT s_nationkey AS g, s_suppkey AS video, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS slot, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)"

@@ -13,6 +13,7 @@ from ..operators import timeline as tl
 from .feedback_queries import RECORDS, latest, records
 from .ledger_queries import LEDGER, ledger
 from .registry import query, table
+from .text_queries import _COSINE, _bits, _words
 from .timeline_queries import SPANS, events, lines, spans
 
 FILES_SQL = "files AS (SELECT doc_id, 'root/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, n_chars FROM documents)"
@@ -52,10 +53,10 @@ def manifest_report(spark, sf_dir):
     return op.manifest_report(p, ["index", "audio_file"], ["file", "path", "sound"])
 
 
-@query("f12_valid_ladders", "WITH s AS (SELECT p_brand, list_sort(list_distinct(list(p_size % 20))) AS steps FROM part WHERE p_partkey % 40 < 3 GROUP BY p_brand) SELECT p_brand, CASE WHEN len(list_filter(steps, lambda x: x < 1 OR x > 16)) = 0 THEN array_to_string(steps, ',') END AS ladder FROM s")
+@query("f12_valid_ladders", "WITH s AS (SELECT p_partkey // 3 AS machine, list_sort(list_distinct(list(p_size % 20))) AS steps FROM part GROUP BY 1) SELECT machine, CASE WHEN len(list_filter(steps, lambda x: x < 1 OR x > 16)) = 0 THEN array_to_string(steps, ',') END AS ladder FROM s")
 def valid_ladders(spark, sf_dir):
-    s = table(spark, sf_dir, "part").where("p_partkey % 40 < 3").groupBy("p_brand").agg(F.collect_list(F.expr("p_size % 20")).alias("steps"))
-    return s.select("p_brand", F.array_join(op.valid_ladder(F.col("steps")), ",").alias("ladder"))
+    s = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 3").alias("machine")).agg(F.collect_list(F.expr("p_size % 20")).alias("steps"))
+    return s.select("machine", F.array_join(op.valid_ladder(F.col("steps")), ",").alias("ladder"))
 
 
 # --- joins
@@ -293,13 +294,19 @@ def chunks_to_budget(spark, sf_dir):
     return tl.budgeted(cut, "user_id", "place", "duration", 600.0).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"))
 
 
-@query("u07_timeline_cues")
+_RANGES = f"""WITH {SPANS}, g AS (SELECT user_id, coalesce(max("end") OVER (PARTITION BY user_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, least("start", total) AS b FROM spans UNION ALL SELECT user_id, max("end"), max(total) FROM spans GROUP BY user_id),
+y AS (SELECT user_id, a, b FROM g WHERE b - a >= 0.40), z AS (SELECT user_id, a + 7200 * k AS s, least(a + 7200 * (k + 1), b) AS e FROM (SELECT user_id, a, b, unnest(range(greatest(CAST(ceil((b - a) / 7200) AS BIGINT), 1))) AS k FROM y)),
+l AS (SELECT user_id, s, e, row_number() OVER (PARTITION BY user_id ORDER BY s) AS place FROM z WHERE e - s >= 0.25), t AS (SELECT conv_id % 15 AS user_id, text, row_number() OVER (PARTITION BY conv_id % 15 ORDER BY conv_id, turn) AS place FROM conversations)
+SELECT l.user_id, l.place, l.s AS start, l.e AS "end", coalesce(t.text, '...') AS text FROM l LEFT JOIN t ON t.user_id = l.user_id AND t.place = l.place"""
+
+
+@query("u07_timeline_cues", _RANGES)
 def timeline_cues(spark, sf_dir):
     """Complement of the silences, split, and the reference lines set on it in turn."""
     ranges = tl.split_long(tl.complement(spans(spark, sf_dir), "user_id", "total", 0.0, 0.40), 7200.0)
-    text = table(spark, sf_dir, "conversations").selectExpr("conv_id % 15 AS user_id", "conv_id * 1000 + turn AS nth", "text")
+    text = table(spark, sf_dir, "conversations").selectExpr("conv_id % 15 AS user_id", "struct(conv_id, turn) AS nth", "text")
     joined = tl.zip_rows(ranges.select("user_id", "start", "end"), text, "user_id", "start", "nth").where("start IS NOT NULL")
-    return joined.select("user_id", "place", "start", "end", F.coalesce("text", F.lit("...")).alias("text"))
+    return joined.select("user_id", F.col("place").cast("long").alias("place"), "start", "end", F.coalesce("text", F.lit("...")).alias("text"))
 
 
 @query("u08_strategy_cascade", "WITH c AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS strategy FROM events WHERE value > 20), n AS (SELECT user_id, strategy FROM c GROUP BY 1, 2 HAVING count(*) >= CASE strategy WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END), m AS (SELECT user_id, min(strategy) AS strategy FROM n GROUP BY user_id) SELECT user_id, strategy, event_id FROM c JOIN m USING (user_id, strategy)")
@@ -311,13 +318,17 @@ def strategy_cascade(spark, sf_dir):
 # --- scalars
 
 
-@query("x13_audio_dispatch")
+_AUDIO = "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT) & 4294967295) AS w FROM embeddings), c AS (SELECT vec_id, w, list_transform(v, lambda t: t - list_sum(v) / len(v)) AS c FROM e), n AS (SELECT vec_id, w, c, sqrt(list_sum(list_transform(c, lambda t: t * t))) AS norm FROM c)"
+
+
+@query("x13_audio_dispatch", f"{_AUDIO} SELECT l.vec_id, CASE WHEN l.vec_id % 7 = 0 OR r.vec_id % 7 = 0 THEN -1.0::DOUBLE WHEN l.vec_id % 4 > 1 AND r.vec_id % 4 > 1 THEN {_bits('l.w', 'r.w')} WHEN l.vec_id % 5 > 0 AND r.vec_id % 5 > 0 THEN {_COSINE} ELSE -1.0::DOUBLE END AS similarity FROM n l JOIN n r ON r.vec_id = l.vec_id + 1")
 def audio_dispatch(spark, sf_dir):
-    """Similarity of neighbouring vectors as loudness envelopes; -1 where they can't be compared."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    near = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("o")), "vec_id")
-    same = F.size("e") == F.size("o")
-    return near.select("vec_id", F.when(same, similar.envelope_similarity(F.col("e"), F.col("o"))).otherwise(-1.0).alias("similarity"))
+    """Similarity of neighbouring vectors as audio items, of which some failed and some lack a fingerprint or an envelope."""
+    v, none = F.col("embedding").cast("array<double>"), F.lit(None)
+    item = F.struct(F.when(F.expr("vec_id % 4 > 1"), _words(F.col("embedding"))).alias("fingerprint"), F.when(F.expr("vec_id % 5 > 0"), v).otherwise(none).alias("envelope"), F.when(F.expr("vec_id % 7 = 0"), "unreadable").alias("error"))
+    items = table(spark, sf_dir, "embeddings").select("vec_id", item.alias("a"))
+    near = items.join(items.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    return near.select("vec_id", similar.audio_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
 @query("x23_decisions", "SELECT p_partkey, CASE WHEN p_partkey % 50 = 7 THEN 'adopt' WHEN contains(lower(p_name), 'widget') AND p_retailprice < 1000 THEN 'study' WHEN p_type = 'PROMO' THEN 'avoid' ELSE 'watch' END AS decision FROM part")
@@ -388,10 +399,12 @@ def unfinished_sessions(spark, sf_dir):
     return op.unfinished_session(e, "session", "created", F.col("event_type") == "signup", "user_id")
 
 
-@query("m16_retained_jobs", "WITH j AS (SELECT o_orderkey, o_custkey, o_orderkey % 1000 AS a, o_orderstatus <> 'O' AS f FROM orders WHERE o_orderkey < 1000), y AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, f ORDER BY a DESC) AS k FROM j WHERE NOT f OR 1000 - a <= 900) SELECT o_orderkey FROM y WHERE NOT f OR k <= 2")
+@query("m16_retained_jobs", "WITH j AS (SELECT o_orderkey, o_custkey, o_orderstatus <> 'O' AS f, epoch_us(o_orderdate) / 1000000.0::DOUBLE AS a, max(epoch_us(o_orderdate)) OVER () / 1000000.0::DOUBLE AS now FROM orders), y AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, f ORDER BY a DESC, o_orderkey DESC) AS k FROM j WHERE NOT f OR now - a <= 1000 * 86400) SELECT o_orderkey FROM y WHERE NOT f OR k <= 2")
 def retained_jobs(spark, sf_dir):
-    j = orders(spark, sf_dir, "o_orderkey", "o_custkey", "o_orderkey % 1000 AS at", "o_orderstatus").where("o_orderkey < 1000")
-    return op.retained(j, "o_custkey", "at", F.col("o_orderstatus") != "O", 1000.0, 900.0, 2).select("o_orderkey")
+    at = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01', o_orderdate) / 1000000.0D"
+    j = orders(spark, sf_dir, "o_orderkey", "o_custkey", f"struct({at} AS at, o_orderkey) AS at", "o_orderstatus")
+    now = j.agg(F.max("at.at")).scalar()
+    return op.retained(j, "o_custkey", "at", F.col("o_orderstatus") != "O", now - F.col("at.at"), 1000.0 * 86400, 2).select("o_orderkey")
 
 
 @query("w01_inserted_tasks", "SELECT o_orderkey, left(sha1((o_custkey % 10) || '|' || o_orderkey), 16) AS task_id, CASE WHEN o_orderkey % 4 = 1 AND EXISTS (SELECT 1 FROM orders p WHERE p.o_orderkey = o.o_orderkey - 10 AND p.o_custkey % 10 = o.o_custkey % 10) THEN left(sha1((o_custkey % 10) || '|' || (o_orderkey - 10)), 16) END AS leader_task_id FROM orders o")

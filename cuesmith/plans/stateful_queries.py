@@ -56,7 +56,7 @@ def ladder_steps(spark, sf_dir):
     return folds.ladder_steps(_rounds(spark, sf_dir), "machine").withColumn("rate", F.col("rate").cast("double"))
 
 
-@query("a14_recommended")
+@query("a14_recommended", "WITH s AS (SELECT l_suppkey AS machine, l_linenumber AS concurrency, CAST(quantile_disc(floor(l_extendedprice), 0.5) AS DOUBLE) AS rate, bool_and(l_discount < 0.095::DOUBLE) AS stable FROM lineitem GROUP BY 1, 2), w AS (SELECT *, lag(rate) OVER (PARTITION BY machine ORDER BY concurrency) AS below FROM s WHERE stable), b AS (SELECT machine, max(concurrency) AS concurrency FROM w WHERE below IS NULL OR below <= 0 OR (rate - below) / below >= 0.05::DOUBLE GROUP BY machine) SELECT m.machine, coalesce(b.concurrency, 1) AS concurrency FROM (SELECT DISTINCT machine FROM s) m LEFT JOIN b USING (machine)")
 def recommended(spark, sf_dir):
     return folds.recommend(folds.ladder_steps(_rounds(spark, sf_dir), "machine"), "machine")
 
@@ -122,7 +122,16 @@ def kept_regions(spark, sf_dir):
     return gaps.unionByName(s.select("user_id", F.lit("head").alias("kind"), "start", F.least("end", F.col("start") + 30).alias("end")))
 
 
-@query("t15_phrase_times")
+_PHRASES = """WITH u AS (SELECT item_id, trim(regexp_replace(regexp_replace(p, '\\p{P}+', '', 'g'), '\\s+', ' ', 'g')) AS phrase, i FROM (SELECT item_id, unnest(parts) AS p, unnest(range(len(parts))) AS i FROM (SELECT item_id, regexp_split_to_array(text, '[,.!?;:\\n]+') AS parts FROM benchmark))),
+d AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS place, length(phrase) AS chars, count(*) OVER (PARTITION BY item_id) AS n, 9.0::DOUBLE * length(phrase) / sum(length(phrase)) OVER (PARTITION BY item_id) AS raw FROM u WHERE phrase <> ''),
+f AS (SELECT *, CASE WHEN n * 0.4::DOUBLE <= 9.0::DOUBLE + 1e-9 THEN greatest(0.4::DOUBLE, raw) ELSE raw END AS lifted FROM d),
+o AS (SELECT *, sum(lifted) OVER (PARTITION BY item_id) - 9.0 AS above, sum(lifted - 0.4::DOUBLE) OVER (PARTITION BY item_id) AS slack FROM f),
+t AS (SELECT *, lifted - CASE WHEN n * 0.4::DOUBLE <= 9.0::DOUBLE + 1e-9 AND above > 1e-9 AND slack > 1e-9 THEN above * (lifted - 0.4::DOUBLE) / slack ELSE 0.0 END AS d FROM o),
+e AS (SELECT item_id, place, CASE WHEN place = n - 1 THEN 9.0::DOUBLE ELSE least(9.0::DOUBLE, sum(d) OVER (PARTITION BY item_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) END AS stop FROM t)
+SELECT item_id, CAST(place AS INTEGER) AS place, round_even(coalesce(lag(stop) OVER (PARTITION BY item_id ORDER BY place), 0.0), 3) AS start, round_even(stop, 3) AS "end" FROM e"""
+
+
+@query("t15_phrase_times", _PHRASES)
 def phrase_times(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(text.phrases(F.col("text"))).alias("place", "phrase"))
     return tl.phrase_times(b.select("item_id", "place", F.length("phrase").alias("chars"), F.lit(0.0).alias("start"), F.lit(9.0).alias("end")), "item_id", "place")

@@ -74,9 +74,19 @@ def wrapped(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(text.wrap(F.col("text"), 16, 3)).alias("nth", "piece")).select("item_id", F.col("nth").cast("long").alias("nth"), "piece")
 
 
-@query("x08_packed_lines")
+#: A line's clauses packed, pieces cut, and parts packed, each by a fold over lists.
+_PACKED = """WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS lines FROM conversations),
+p AS (SELECT conv_id, turn, flatten(list_transform(lines, lambda x: CASE WHEN length(x) <= 60 THEN [x] ELSE
+  flatten(list_transform(list_reduce(list_transform(regexp_extract_all(x, '[^。！？!?；;，,、]*[。！？!?；;，,、]|[^。！？!?；;，,、]+'), lambda c: [c]),
+    lambda a, c: CASE WHEN length(a[-1]) + length(c[1]) > 60 THEN list_concat(a, c) ELSE list_concat(a[:len(a) - 1], [a[-1] || c[1]]) END),
+    lambda y: list_transform(range(CAST(ceil(length(y) / 60) AS BIGINT)), lambda i: substr(y, CAST(i * 60 + 1 AS INTEGER), 60)))) END)) AS parts FROM l),
+c AS (SELECT conv_id, turn, list_reduce(list_transform(parts, lambda x: [x]), lambda a, x: CASE WHEN length(replace(a[-1], chr(10), '')) + length(x[1]) > 60 THEN list_concat(a, x) ELSE list_concat(a[:len(a) - 1], [a[-1] || chr(10) || x[1]]) END) AS chunks FROM p WHERE len(parts) > 0)
+SELECT conv_id, turn, CAST(i AS INTEGER) AS nth, chunks[i + 1] AS line FROM (SELECT *, unnest(range(len(chunks))) AS i FROM c)"""
+
+
+@query("x08_packed_lines", _PACKED)
 def packed_lines(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(text.packed_lines(text.phrases(F.col("text")), 60)).alias("nth", "line"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(text.packed_lines(F.col("text"), 60)).alias("nth", "line"))
 
 
 @query("x09_name_scores", "WITH n(raw, name, ord) AS (VALUES ('01the hall', 'the hall', 0), ('02-rothe', 'rothe', 1), ('3 qu', 'qu', 2)), g AS (SELECT raw, name, unnest(list_distinct(list_transform(range(1, length(name)), lambda i: substr(name, CAST(i AS INTEGER), 2)))) AS gram FROM n) SELECT item_id, raw, CASE WHEN max(CASE WHEN contains(text, name) THEN 1 ELSE 0 END) = 1 THEN 1.0::DOUBLE ELSE count(*) FILTER (WHERE contains(text, gram)) / count(*) * 0.9::DOUBLE END AS score FROM benchmark, g GROUP BY item_id, raw")
@@ -85,7 +95,7 @@ def name_scores(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", "text", each).select("item_id", "raw", text.name_score(F.col("raw"), F.col("text")).alias("score"))
 
 
-@query("j19_pick_folder")
+@query("j19_pick_folder", "WITH n(raw, name, ord) AS (VALUES ('01the hall', 'the hall', 0), ('02-rothe', 'rothe', 1), ('3 qu', 'qu', 2)), g AS (SELECT raw, name, ord, unnest(list_distinct(list_transform(range(1, length(name)), lambda i: substr(name, CAST(i AS INTEGER), 2)))) AS gram FROM n), s AS (SELECT item_id, raw, ord, CASE WHEN max(CASE WHEN contains(text, name) THEN 1 ELSE 0 END) = 1 THEN 1.0::DOUBLE ELSE count(*) FILTER (WHERE contains(text, gram)) / count(*) * 0.9::DOUBLE END AS score FROM benchmark, g GROUP BY item_id, raw, ord), b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, ord) AS k FROM s) SELECT item_id, CASE WHEN score >= 0.34::DOUBLE THEN raw ELSE ['01the hall', '02-rothe', '3 qu'][CAST(item_id % 3 AS INTEGER) + 1] END AS folder, score >= 0.34::DOUBLE AS matched FROM b WHERE k = 1")
 def pick_folder(spark, sf_dir):
     """The best-scoring folder of each line at 0.34 or more, else one in turn."""
     scored = F.array(*[F.struct(text.name_score(F.lit(n), F.col("text")).alias("score"), F.lit(-i).alias("ord"), F.lit(n).alias("name")) for n, i in NAMES])
@@ -115,9 +125,13 @@ def natural_order(spark, sf_dir):
     return p.select("name", text.natural_key(F.col("name")).alias("sort_key"))
 
 
-@query("x14_task_fingerprints", "SELECT c_custkey, sha1('[\"' || c_custkey || '\",\"' || c_mktsegment || '\"]') AS fingerprint FROM customer")
+@query("x14_task_fingerprints", """SELECT c_custkey, sha1('{"crf": 20, "encoder_preference": "auto", "keep_original_audio": ' || CASE WHEN c_custkey % 3 = 0 THEN 'true' ELSE 'false' END || ', "mirror": true, "pitch": ' || (c_custkey % 5 - 2) || ', "preset": "medium", "schema": "bulk_dub@v2", "speed": ' || CAST(1 + (c_custkey % 8) * 0.125::DOUBLE AS VARCHAR) || ', "style": "general", "text": "' || c_mktsegment || ' \\"' || c_custkey || '\\"", "video": ["/v/' || c_custkey || '.mp4", ' || (c_custkey * 7) || ', ' || (1700000000 + c_custkey) || '], "voice_id": "v' || c_nationkey || '", "zoom_percent": 130}') AS fingerprint FROM customer""")
 def task_fingerprints(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", similar.task_fingerprint(F.col("c_custkey"), F.col("c_mktsegment")).alias("fingerprint"))
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    words = F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(' "'), key, F.lit('"\n'))
+    made = similar.task_fingerprint(F.concat(F.lit("/v/"), key, F.lit(".mp4")), F.col("c_custkey") * 7, F.lit(1700000000) + F.col("c_custkey"), words, F.concat(F.lit("v"), F.col("c_nationkey").cast("string")), 1 + F.col("c_custkey") % 8 * F.lit(0.125), pitch=F.col("c_custkey") % 5 - 2, keep_audio=F.col("c_custkey") % 3 == 0)
+    return c.select("c_custkey", made.alias("fingerprint"))
 
 
 @query("x36_machine_fingerprints", "SELECT c_custkey, substr(sha256(c_custkey || '|' || c_mktsegment || '|' || c_nationkey), 1, 32) AS fingerprint FROM customer")
@@ -158,17 +172,41 @@ def banded_pairs(spark, sf_dir):
     return p.select("left_id", "right_id", similar.hamming(F.col("l_hash"), F.col("r_hash")).alias("distance")).where("distance <= 7")
 
 
-@query("j06_envelope_pairs")
+_CENTRED = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT vec_id, label, list_transform(v, lambda t: t - list_sum(v) / len(v)) AS c FROM e), n AS (SELECT vec_id, label, c, sqrt(list_sum(list_transform(c, lambda t: t * t))) AS norm FROM c)"
+_COSINE = "CASE WHEN l.norm < 1e-9 AND r.norm < 1e-9 THEN 1.0::DOUBLE WHEN l.norm < 1e-9 OR r.norm < 1e-9 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, (list_sum(list_transform(list_zip(l.c, r.c), lambda x: x[1] * x[2])) / (l.norm * r.norm) + 1) / 2)) END"
+
+
+@query("j06_envelope_pairs", f"WITH {_CENTRED}, p AS (SELECT l.vec_id AS left_id, r.vec_id AS right_id, {_COSINE} AS similarity FROM n l JOIN n r ON l.label = r.label AND l.vec_id < r.vec_id) SELECT *, CASE WHEN similarity >= 0.97 THEN 'high' WHEN similarity >= 0.87 THEN 'medium' ELSE 'low' END AS level FROM p")
 def envelope_pairs(spark, sf_dir):
+    """Pairs of one batch (label) as loudness envelopes; what can't be compared (-1) is no pair."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", similar.centred_envelope(F.col("embedding").cast("array<double>")).alias("v"))
     p = similarity.exhaustive_pairs(e, "vec_id", "label", ["v"])
-    return p.select("left_id", "right_id", similar.centred_similarity(F.col("l_v"), F.col("r_v")).alias("similarity")).withColumn("level", similar.level(F.col("similarity"), 0.97, 0.85))
+    comparable = (F.size("l_v.v") > 0) & (F.size("r_v.v") > 0)
+    p = p.select("left_id", "right_id", F.when(comparable, similar.centred_similarity(F.col("l_v"), F.col("r_v"))).otherwise(-1.0).alias("similarity")).where("similarity >= 0")
+    return p.withColumn("level", similar.level(F.col("similarity"), 0.97, 0.85))
+
+
+def _words(x):
+    return F.transform(x, lambda t: F.floor(t.cast("double") * 1000000).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-@query("x11_fingerprint_pairs")
+_WORDS = "list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT) & 4294967295)"
+
+
+def _bits(l: str, r: str) -> str:
+    """The best part of equal bits over shifts of -3 to 3 words, with 8 words or more in common."""
+    each = []
+    for o in range(-3, 4):
+        x, y = f"{l}[{1 + max(o, 0)}:]", f"{r}[{1 + max(-o, 0)}:]"
+        n = f"least(len({x}), len({y}))"
+        each.append(f"CASE WHEN {n} >= 8 THEN 1 - list_sum(list_transform(list_zip({x}, {y}, true), lambda w: CAST(bit_count(xor(w[1], w[2])) AS BIGINT))) / ({n} * 32.0::DOUBLE) ELSE 0.0 END")
+    return f"greatest(0.0::DOUBLE, {', '.join(each)})"
+
+
+@query("x11_fingerprint_pairs", f"WITH s AS (SELECT vec_id, label, {_WORDS} AS w FROM embeddings) SELECT l.vec_id AS left_id, r.vec_id AS right_id, {_bits('l.w', 'r.w')} AS similarity FROM s l JOIN s r ON l.label = r.label AND l.vec_id < r.vec_id")
 def fingerprint_pairs(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.floor(x * 1000000).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("v"))
-    p = similarity.exhaustive_pairs(e, "vec_id", "label", ["v"])
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", _words(F.col("embedding")).alias("v"))
+    p = similarity.exhaustive_pairs(e, "vec_id", "label", ["v"]).where((F.size("l_v") > 0) & (F.size("r_v") > 0))
     return p.select("left_id", "right_id", similar.fingerprint_similarity(F.col("l_v"), F.col("r_v")).alias("similarity"))
 
 
@@ -195,11 +233,10 @@ def row_verdicts(spark, sf_dir):
     return e.select("event_id", normal.row_verdict(F.col("p"), F.col("t")).alias("verdict"))
 
 
-@query("x27_union_warnings", "SELECT event_id, CASE WHEN event_type = 'error' THEN ['slow', 'error'] ELSE ['error', 'slow'] END AS warnings FROM events WHERE event_type IN ('error', 'view')")
+@query("x27_union_warnings", "SELECT event_id, CASE event_type WHEN 'error' THEN ['slow', 'error'] WHEN 'view' THEN ['error', 'slow'] ELSE ['error'] END AS warnings FROM events")
 def union_warnings(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type in ('error', 'view')")
-    had = F.when(F.col("event_type") == "error", F.array(F.lit("slow"))).otherwise(F.array(F.lit("error"), F.lit("slow")))
-    return e.select("event_id", F.array_union(had, F.array(F.lit("error"))).alias("warnings"))
+    had = F.when(F.col("event_type") == "error", F.array(F.lit("slow"))).when(F.col("event_type") == "view", F.array(F.lit("error"), F.lit("slow"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_union(had, F.array(F.lit("error"))).alias("warnings"))
 
 
 @query("s08_json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

@@ -45,17 +45,30 @@ def even_split(spark, sf_dir):
     return op.even_split(lines(spark, sf_dir).drop("duration").withColumn("total", F.lit(10000)), "conv_id", "turn", "total").select("conv_id", "turn", F.col("duration").cast("long").alias("duration"))
 
 
-@query("t04_quantise_frames")
+@query("t04_quantise_frames", "WITH f AS (SELECT conv_id, turn, greatest(1, CAST(round_even(length(text) / 100.0::DOUBLE * 25, 0) AS BIGINT)) AS frames, CAST(round_even(sum(length(text)) OVER (PARTITION BY conv_id) / 100.0::DOUBLE * 25, 0) AS BIGINT) AS whole, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) SELECT conv_id, turn, CASE WHEN k = 1 THEN CAST(whole - (sum(frames) OVER (PARTITION BY conv_id) - frames) AS BIGINT) ELSE frames END AS frames FROM f")
 def quantise_frames(spark, sf_dir):
     d = lines(spark, sf_dir).withColumn("seconds", F.col("duration") / 100.0)
     total = d.groupBy("conv_id").agg((F.sum("duration") / 100.0).alias("total"))
     return op.quantise_frames(d.join(total, "conv_id"), "conv_id", "turn", "seconds", 25, "total")
 
 
-@query("t03_quota_durations")
+#: Cues of a conversation's turns with gaps after some, and lines of other lengths on them.
+_QUOTAS = """WITH d AS (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS e, CAST(sum(length(text)) OVER (PARTITION BY conv_id) AS DOUBLE) AS total FROM conversations),
+c AS (SELECT conv_id, CAST(e - n AS DOUBLE) AS s, CAST(e - n % 5 AS DOUBLE) AS t, n, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS cum FROM d WHERE n > 0),
+w AS (SELECT conv_id, max(cum) AS whole, max_by(t, cum) AS last FROM c GROUP BY conv_id),
+q AS (SELECT d.conv_id, d.turn, d.total, w.last, greatest(1, CAST(round_even(w.whole * (d.n % 37 + 1) / CAST(sum(d.n % 37 + 1) OVER (PARTITION BY d.conv_id) AS DOUBLE), 0) AS BIGINT)) AS quota FROM d JOIN w USING (conv_id)),
+x AS (SELECT *, sum(quota) OVER (PARTITION BY conv_id ORDER BY turn) AS want, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM q),
+b AS (SELECT x.conv_id, x.turn, x.total, x.k, CASE WHEN x.k = 1 THEN x.total ELSE least(x.total, CASE WHEN c.cum IS NULL THEN x.last WHEN x.want = c.cum THEN c.t ELSE c.s + CAST(x.want - (c.cum - c.n) AS DOUBLE) / c.n * (c.t - c.s) END) END AS stop
+  FROM x LEFT JOIN c ON c.conv_id = x.conv_id AND x.want <= c.cum AND x.want > c.cum - c.n),
+m AS (SELECT *, max(stop) OVER (PARTITION BY conv_id ORDER BY turn) AS reach FROM b),
+r AS (SELECT conv_id, turn, total, k, round_even(reach - lag(reach, 1, 0.0) OVER (PARTITION BY conv_id ORDER BY turn), 3) AS duration FROM m)
+SELECT conv_id, turn AS "index", CASE WHEN k = 1 THEN round_even(duration + round_even(total - sum(duration) OVER (PARTITION BY conv_id), 3), 3) ELSE duration END AS duration FROM r"""
+
+
+@query("t03_quota_durations", _QUOTAS)
 def quota_durations(spark, sf_dir):
     d = lines(spark, sf_dir)
-    cues = op.prefix_timeline(d.withColumn("chars", F.col("duration") + 0), "conv_id", "turn", "duration").select("conv_id", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "chars")
+    cues = op.prefix_timeline(d.withColumn("chars", F.col("duration") + 0), "conv_id", "turn", "duration").select("conv_id", F.col("start").cast("double").alias("start"), (F.col("end") - F.col("chars") % 5).cast("double").alias("end"), "chars")
     total = d.groupBy("conv_id").agg(F.sum("duration").cast("double").alias("total"))
     own = d.select("conv_id", F.col("turn").alias("index"), (F.col("duration") % 37 + 1).alias("chars")).join(total, "conv_id")
     return op.quota_durations(own, cues, "conv_id")
@@ -148,7 +161,16 @@ def round_robin(spark, sf_dir):
     return op.round_robin(c, "conv_id", "turn", F.col("role") == "user", 3).select("conv_id", "turn", F.col("source_no").cast("long").alias("source_no"))
 
 
-@query("r03_greedy_pick")
+#: Candidates in turn by falling score, with the list of those taken so far.
+_GREEDY = f"""WITH RECURSIVE c AS (SELECT user_id, s, e, v, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, s, e) AS k FROM (SELECT user_id, CAST(({AT_SQL}) // 1000000 AS DOUBLE) AS s, CAST(({AT_SQL}) // 1000000 + 30 + event_id % 90 AS DOUBLE) AS e, value AS v FROM events)),
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(s DOUBLE, e DOUBLE, v DOUBLE)[]) AS taken, CAST(600 AS DOUBLE) AS left_ FROM (SELECT DISTINCT user_id FROM c)
+UNION ALL SELECT user_id, k, CASE WHEN ok THEN list_append(taken, CAST({{'s': s, 'e': least(e, s + left_), 'v': v}} AS STRUCT(s DOUBLE, e DOUBLE, v DOUBLE))) ELSE taken END, CASE WHEN ok THEN left_ - least(e - s, left_) ELSE left_ END
+  FROM (SELECT r.user_id, c.k, c.s, c.e, c.v, r.taken, r.left_, len(list_filter(r.taken, lambda x: least(c.e, x.e) - greatest(c.s, x.s) >= 0.25 OR abs(c.s - x.s) < 900)) = 0 AS ok FROM r JOIN c ON c.user_id = r.user_id AND c.k = r.k + 1 WHERE r.left_ > 0)),
+z AS (SELECT user_id, unnest(max_by(taken, k)) AS t FROM r GROUP BY user_id)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY t.s, t.e) AS nth, t.s AS start, t.e AS "end", t.v AS score FROM z"""
+
+
+@query("r03_greedy_pick", _GREEDY)
 def greedy_pick(spark, sf_dir):
     c = events(spark, sf_dir).select("user_id", F.expr("CAST(at div 1000000 AS DOUBLE)").alias("start"), F.expr("CAST(at div 1000000 + 30 + event_id % 90 AS DOUBLE)").alias("end"), F.col("value").alias("score"))
     return mt.greedy_pick(c, "user_id", "score", 600.0, 900.0)
@@ -178,9 +200,15 @@ def srt_timestamps(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", times.srt_timestamp(F.expr("event_id * 1237 / 1000")).alias("stamp"))
 
 
-@query("x26_tempo_chain")
+@query("x26_tempo_chain", "SELECT l_orderkey, l_linenumber, CASE WHEN s > 2 THEN [2.0::DOUBLE, round_even(s / 2, 4)] WHEN s < 0.5 THEN [0.5::DOUBLE, round_even(s / 0.5::DOUBLE, 4)] ELSE [round_even(s, 4)] END AS factors FROM (SELECT l_orderkey, l_linenumber, least(greatest(CAST(l_quantity AS DOUBLE) / 8, 0.25), 4.0) AS s FROM lineitem)")
 def tempo_chain(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", times.tempo_chain(F.col("l_quantity") / 5).alias("factors"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", times.tempo_chain(F.col("l_quantity").cast("double") / 8).alias("factors"))
+
+
+@query("x26_strict_chain", "SELECT l_orderkey, l_linenumber, list_concat(CASE WHEN s > 100.001 THEN ['100.000000'] ELSE CAST([] AS VARCHAR[]) END, list_transform(range(d), lambda i: '0.500000'), CASE WHEN abs(r - 1) >= 0.001 THEN [printf('%.6f', r)] ELSE CAST([] AS VARCHAR[]) END) AS factors FROM (SELECT *, CASE WHEN s > 100.001 THEN s / 100 ELSE s * power(2, d) END AS r FROM (SELECT l_orderkey, l_linenumber, s, CASE WHEN s >= 0.499 THEN 0 WHEN s >= 0.2495 THEN 1 WHEN s >= 0.12475 THEN 2 WHEN s >= 0.062375 THEN 3 WHEN s >= 0.0311875 THEN 4 ELSE 5 END AS d FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_quantity AS DOUBLE) * 4 ELSE CAST(l_quantity AS DOUBLE) / 32 END AS s FROM lineitem)))")
+def strict_chain(spark, sf_dir):
+    q = F.col("l_quantity").cast("double")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", times.strict_tempo_chain(F.when(F.col("l_linenumber") % 2 == 0, q * 4).otherwise(q / 32)).alias("factors"))
 
 
 @query("x17_publish_times", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL WHEN event_id % 3 = 1 THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS at FROM events")

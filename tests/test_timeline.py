@@ -14,8 +14,10 @@ from cuesmith.operators import matching, timeline
     [
         ([(0.0, 10.0, 8)], [4, 4], 10.0, [5, 5]),
         ([(2.0, 10.0, 8)], [2, 6], 12.0, [4, 8]),
-        ([(0.0, 4.0, 5), (6.0, 10.0, 5)], [5, 5], 10.0, [6, 4]),
+        ([(0.0, 4.0, 5), (6.0, 10.0, 5)], [5, 5], 10.0, [4, 6]),
         ([(0.0, 7.0, 6)], [3, 3], 11.5, [3.5, 8.0]),
+        ([(0.0, 10.0, 10)], [1, 1, 1, 1, 1, 1, 1], 10.0, [1, 1, 1, 1, 1, 1, 4]),
+        ([(0.0, 3.0, 2)], [1, 1, 1, 1], 4.0, [1.5, 1.5, 0, 1]),
     ],
 )
 def test_quota_durations(spark, cues, chars, total, want):
@@ -55,6 +57,17 @@ def test_greedy_pick_budget_and_gaps(spark):
     assert [(r["start"], r["end"]) for r in got] == [(0.0, 4.0), (10.0, 14.0), (20.0, 22.0)]
 
 
+def test_task_fingerprint_is_that_of_canonical_json(spark):
+    """Python's own JSON of the same inputs, keys sorted."""
+    import hashlib
+    import json
+
+    key = {"video": ("/v/é \"1\".mp4", 12, 1700000000), "text": "a\n\"b\" \\ü", "voice_id": "v", "speed": round(1.23456, 4), "pitch": 0, "style": "general", "keep_original_audio": False, "mirror": True, "zoom_percent": 130, "encoder_preference": "auto", "preset": "medium", "crf": 20, "schema": similar.TASK_SCHEMA}
+    want = hashlib.sha1(json.dumps(key, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+    lit = F.lit
+    assert one(spark, similar.task_fingerprint(lit(key["video"][0]), lit(12), lit(1700000000), lit("  a\n\"b\" \\ü \t"), lit("v"), lit(1.23456))) == want
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
@@ -63,10 +76,15 @@ def test_scalars(spark):
     lit = F.lit
     assert one(spark, times.parse_timecode(lit("01:02:03,5"))) == 3723.5 and one(spark, times.parse_seconds(lit("bad"), 7.0)) == 7.0
     assert one(spark, times.srt_timestamp(lit(3723.4567))) == "01:02:03,457"
-    assert one(spark, F.aggregate(times.tempo_chain(lit(9.0)), lit(1.0), lambda a, x: a * x)) == pytest.approx(9.0)
-    assert max(one(spark, times.tempo_chain(lit(9.0)))) <= 2.0 and min(one(spark, times.tempo_chain(lit(0.1)))) >= 0.5 - 1e-12
+    with pytest.raises(Exception, match="no speed"):
+        one(spark, times.strict_tempo_chain(lit(0.0)))
     assert one(spark, text.phrases(lit("你好，世界！今天。"))) == ["你好", "世界", "今天"]
-    assert one(spark, text.preview(lit(" a\nb "))) == "a b" and one(spark, text.packed_lines(F.array(lit("aa"), lit("bb"), lit("cccccccc")), 5)) == ["aa bb", "ccccc", "ccc"]
+    assert one(spark, text.preview(lit(" a\nb "))) == "a b" and one(spark, text.packed_lines(lit("aa\n bbb\n\ncc,dd,eeeeeeee"), 5)) == ["aa\nbbb", "cc,", "dd,", "eeeee", "eee"]
+    assert one(spark, text.packed_lines(lit("aa\nbb"), 0)) == ["aa\nbb"] and one(spark, text.packed_lines(lit(" \n"), 5)) == []
+    assert one(spark, text.word_positions(lit("aaa baab"), "aa")) == [0, 1, 5] and one(spark, text.word_positions(lit("xaax"), "aa")) == [1] and one(spark, text.word_positions(lit(""), "aa")) == []
+    assert one(spark, times.tempo_chain(lit(1.0))) == [1.0] and one(spark, times.tempo_chain(lit(9.0))) == [2.0, 2.0] and one(spark, times.tempo_chain(lit(0.3))) == [0.5, 0.6]
+    assert one(spark, times.strict_tempo_chain(lit(200.0))) == ["100.000000", "2.000000"] and one(spark, times.strict_tempo_chain(lit(0.25))) == ["0.500000", "0.500000"]
+    assert one(spark, times.strict_tempo_chain(lit(1.0))) == [] and one(spark, times.strict_tempo_chain(lit(4.0))) == ["4.000000"] and one(spark, times.strict_tempo_chain(lit(0.1))) == ["0.500000", "0.500000", "0.500000", "0.800000"]
     assert [one(spark, normal.parse_int(lit(v))) for v in ("5.0", "1,200", "x", "5.5")] == [5, 1200, None, None]
     assert one(spark, similar.hex_words(lit("f" * 16 + "0" * 47 + "1"))) == [-1, 0, 0, 1]
     assert one(spark, similar.hash_similarity(F.array(*[lit(0)] * 4), F.array(lit(15), *[lit(0)] * 3))) == 1 - 4 / 256
