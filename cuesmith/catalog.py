@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import feedback_queries, ledger_queries, record_queries, stateful_queries, text_queries, timeline_queries  # noqa: F401
+from .plans import feedback_queries, ledger_queries, record_queries, source_queries, stateful_queries, text_queries, timeline_queries  # noqa: F401
 from .plans.registry import ORACLE, QUERIES, Query
 
 

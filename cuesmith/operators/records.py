@@ -254,3 +254,10 @@ def with_overrides(defaults: dict[str, str], overrides: Column) -> Column:
     own = F.coalesce(overrides, F.create_map().cast("map<string,string>"))
     base = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv])
     return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(own, k)), own)
+
+
+def extended_lexicon(base: DataFrame, extra: DataFrame) -> DataFrame:
+    """(category, word): a lexicon with a user's words, trimmed; blank ones go and
+    each word is in a category once."""
+    rows = base.select("category", "word").unionByName(extra.select("category", "word"))
+    return rows.select("category", F.btrim("word", F.lit(" \t\n\v\f\r")).alias("word")).where("word <> ''").distinct()

@@ -102,7 +102,11 @@ class _WorkbookReader(DataSourceReader):
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """(path, row_number, col, value, error): cells of all workbooks under path; a
     file that can't be read is one row with its error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    return parse_workbooks(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xlsx").load(path))
+
+
+def parse_workbooks(files: DataFrame) -> DataFrame:
+    """As read_workbooks, of files that are rows (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -113,7 +117,7 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
                     rows = [(name, None, None, None, str(e))]
                 yield pd.DataFrame(rows, columns=["path", "row_number", "col", "value", "error"]).astype({"row_number": "Int32"})
 
-    return files.mapInPandas(run, f"path string, {KIND}, error string")
+    return files.select("path", "content").mapInPandas(run, f"path string, {KIND}, error string")
 
 
 def task_rows(cells_: DataFrame, files: DataFrame | None = None) -> DataFrame:
