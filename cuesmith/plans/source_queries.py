@@ -210,9 +210,9 @@ def feedback_template(spark, sf_dir):
     return sinks.feedback_template(_production(spark, sf_dir))
 
 
-@query("k10_cut_plan", "SELECT l_orderkey AS plan, printf('S%03d', row_number() OVER (PARTITION BY l_orderkey ORDER BY 'clip' || l_suppkey, l_linenumber)) AS \"镜号\", 'clip' || l_suppkey AS \"素材文件\", printf('%.3f', CAST(l_linenumber AS DOUBLE)) AS \"开始秒\", printf('%.3f', CAST(l_quantity AS DOUBLE) / 4) AS \"时长\", '' AS \"人物\", '原声/待配音' AS \"声音类型\", CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE '' END AS \"台词\", l_linestatus AS \"备注\" FROM lineitem")
+@query("k10_cut_plan", "SELECT user_id AS plan, printf('S%03d', row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id)) AS \"镜号\", event_type AS \"素材文件\", printf('%.3f', CAST(event_id AS DOUBLE)) AS \"开始秒\", printf('%.3f', event_id % 40 / 8.0::DOUBLE) AS \"时长\", '' AS \"人物\", '原声/待配音' AS \"声音类型\", CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS \"台词\", 'e' || event_id AS \"备注\" FROM events")
 def cut_plan(spark, sf_dir):
-    s = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS plan", "concat('clip', l_suppkey) AS source", "l_linenumber AS start", "CAST(l_quantity AS DOUBLE) / 4 AS duration", "CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS text", "l_linestatus AS reason")
+    s = table(spark, sf_dir, "events").selectExpr("user_id AS plan", "event_type AS source", "event_id AS start", "event_id % 40 / 8.0D AS duration", "CASE WHEN event_id % 2 = 0 THEN event_type END AS text", "concat('e', event_id) AS reason")
     return sinks.cut_plan(s, "plan")
 
 
