@@ -43,10 +43,10 @@ _BYTE = mix(_FOLDED.astype(_U) + _U(0x51ED270B))
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and the offsets of its rows (nulls: empty)."""
+    """The bytes of a string or binary column and the offsets of its rows (nulls: empty)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = texts.cast(pa.large_binary()).fill_null(b"") if pa.types.is_binary(texts.type) else texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
