@@ -1,13 +1,11 @@
 """N-gram Jaccard join with vertical partitioning.
 
-All shingles have one global order, which is cut into fragments.  First only each
-set's head is looked at, its first shingles by hash: a set that links must share
-the threshold's part of its shingles, hence some of its head, and most sets leave
-here.  The texts of those that stay are read again, and all their shingles are
-ordered, rarest first: for each shingle the fragments count in how many sets it
-occurs, and for each set how many of its shingles occur elsewhere.  What then stays
-is joined on prefixes of the order, and each candidate pair's overlap is counted
-fragment by fragment and summed per pair.
+All shingles have one global order (rarest first).  The order is cut into
+fragments; a first pass over the fragments counts, for each shingle, in how many
+different sets it occurs, and for each set how many of its shingles occur
+elsewhere.  A set that links must share the threshold's part of its shingles, so
+most sets leave here.  What stays is joined on prefixes of the order, and each
+candidate pair's overlap is counted fragment by fragment and summed per pair.
 
 Equal sets form one class and are joined as one.  Within a posting list not all
 pairs are made: sets first meet the list's hub, and after components of those
@@ -30,14 +28,12 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import cut, drop, parts
-from .shingles import mix, shingle_sets, slices, text_buffer
+from .shingles import mix, shingle_sets, slices
 
 #: Vertical fragments in which a pair's overlap is counted.
 PIECES = 8
-#: A head holds as many shingles as a linked set may lack, and SLACK percent of the set besides.
-SLACK = 15
 #: Bytes of shingles that a fragment or bucket holds at a time, about; there are as many as that takes.
-FRAGMENT_BYTES = 16 << 20
+FRAGMENT_BYTES = 12 << 20
 _U = np.uint64
 
 
@@ -51,125 +47,17 @@ def _class_keys(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _lacking(n, part: int, whole: int):
-    """How many shingles of a set of n may be missing from one that it links with."""
-    return n - -(-n * part // whole)
-
-
-def _packed(values: np.ndarray, width: int) -> np.ndarray:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-
-
-def _unpack(raw: bytes | np.ndarray, width: int) -> np.ndarray:
-    wide = np.zeros((len(raw) // width, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-    return wide.view("<u8").ravel()
-
-
-def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = 80, whole: int = 100) -> DataFrame:
-    """(doc, n, key, head): the size of each document's shingle set, a key that
-    documents of equal sets share (null for an empty set), and the set's head as 6
-    bytes a shingle (empty where the same set has come shortly before)."""
+def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, n, key): the size of each document's shingle set, and a key that
+    documents of equal sets share (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in slices(b, 1)):
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             hashes, sizes = shingle_sets(batch.column(1))
-            keys = _class_keys(hashes, sizes)
-            first = np.zeros(len(sizes), bool)
-            first[np.unique(keys, return_index=True)[1]] = True
-            lengths = np.where(first, np.minimum(sizes, _lacking(sizes, part, whole) + sizes * SLACK // 100 + 1), 0)
-            rows = np.repeat(np.arange(len(sizes)), sizes)
-            nth = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            head = _packed(hashes[nth < lengths[rows]] >> _U(16), 6).tobytes()
-            ends = np.concatenate(([0], np.cumsum(6 * lengths))).astype(np.int32)
-            heads = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(head)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys.view(np.int64), mask=sizes == 0), heads], ["doc", "n", "key", "head"])
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc long, n long, key long, head binary")
-
+            keys = pa.array(_class_keys(hashes, sizes).view(np.int64), mask=sizes == 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), keys], ["doc", "n", "key"])
 
-def _head_fragments(rows: DataFrame, count: int) -> DataFrame:
-    """Heads cut at the fragments' bounds.  Shingles that several sets of a batch
-    have go on once, however many sets that are; what they count for their sets is
-    sent apart, in parts numbered from count on."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in batches for x in slices(b, 1)):
-            data, offsets = text_buffer(batch.column(1))
-            keys = np.repeat(batch.column(0).to_numpy().view(_U), np.diff(offsets) // 6)
-            tokens = _unpack(data[offsets[0] : offsets[-1]], 6)
-            order = np.lexsort((keys, tokens))
-            keys, tokens = keys[order], tokens[order]
-            fresh = np.ones(len(tokens), bool)
-            fresh[1:] = (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])
-            keys, tokens = keys[fresh], tokens[fresh]
-            starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
-            spread = np.diff(np.append(starts, len(tokens)))
-            shared = np.repeat(spread > 1, spread)
-            many = tokens[starts[spread > 1]]
-            own, counts = np.unique(keys[shared], return_counts=True)
-            lone, lone_keys = tokens[~shared], keys[~shared]
-            of = lambda t: ((t & _U(0xFFFFFF)) * _U(count) >> _U(24)).astype(np.int64)
-            parts_, many_parts, apart = of(lone), of(many), (mix(own) % _U(count)).astype(np.int64)
-            order = np.lexsort((lone_keys, parts_))
-            lone, lone_keys, parts_ = lone[order] >> _U(8), lone_keys[order], parts_[order]
-            order = np.argsort(many_parts, kind="stable")
-            many, many_parts = many[order] >> _U(8), many_parts[order]
-            order = np.argsort(apart, kind="stable")
-            own, counts, apart = own[order], counts[order], apart[order]
-            bounds = [np.searchsorted(x, np.arange(count + 1)) for x in (parts_, many_parts, apart)]
-            out: list[list] = [[], [], [], [], []]
-            for f in range(count):
-                (a, b), (c, d), (e, g) = ((x[f], x[f + 1]) for x in bounds)
-                if b > a or d > c:
-                    held, each = np.unique(lone_keys[a:b], return_counts=True)  # keys are in order
-                    for column, value in zip(out, (f, held.tobytes(), each.astype("<u4").tobytes(), _packed(lone[a:b], 5).tobytes(), _packed(many[c:d], 5).tobytes()), strict=True):
-                        column.append(value)
-                if g > e:
-                    for column, value in zip(out, (count + f, own[e:g].tobytes(), counts[e:g].astype("<u4").tobytes(), b"", b""), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [pa.int32(), *[pa.binary()] * 4], strict=True)], ["fragment", "keys", "counts", "low", "many"])
-
-    return rows.select("key", "head").mapInArrow(run, "fragment int, keys binary, counts binary, low binary, many binary")
-
-
-def _shared_of_heads(count: int):
-    """For a fragment: (key, c), how many of its shingles each set shares with another."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = np.concatenate([np.frombuffer(x, _U) for x in group["keys"]]), np.concatenate([np.frombuffer(x, "<u4") for x in group["counts"]])
-        if int(group.fragment.iloc[0]) < count:
-            keys, low = np.repeat(keys, counts), np.concatenate([_unpack(x, 5) for x in group["low"]])
-            order = np.lexsort((keys, low))
-            keys, low = keys[order], low[order]
-            fresh = np.ones(len(low), bool)
-            fresh[1:] = (low[1:] != low[:-1]) | (keys[1:] != keys[:-1])
-            keys, low = keys[fresh], low[fresh]
-            starts = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1]))) if len(low) else np.zeros(0, np.int64)
-            spread = np.diff(np.append(starts, len(low)))
-            shared = np.repeat((spread > 1) | np.isin(low[starts], np.concatenate([_unpack(x, 5) for x in group["many"]])), spread)
-            keys, counts = np.unique(keys[shared], return_counts=True)
-        return pd.DataFrame({"key": keys.view(np.int64), "c": counts.astype(np.int64)})
-
-    return run
-
-
-def _survivors(rows: DataFrame, part: int, whole: int) -> DataFrame:
-    """(key, n, first): the classes whose heads share enough for a link, and the
-    smallest id of each.  A shingle counted twice for copies only lets a class stay."""
-    spark = rows.sparkSession
-    full = rows.where("key is not null")
-    size = rows.agg(F.sum(F.length("head"))).first()[0] or 0
-    count = max(parts(spark), -(-size // FRAGMENT_BYTES))
-    heads = _head_fragments(full.where("length(head) > 0"), count).groupBy("fragment").applyInPandas(_shared_of_heads(count), "key long, c long")
-    shared = heads.groupBy("key").agg(F.sum("c").alias("c"))
-    lacking = F.expr(f"n - (n * {part} + {whole - 1}) div {whole}")
-    enough = F.least(F.col("n"), lacking + F.expr(f"n * {SLACK} div 100 + 1")) - lacking
-    return _classes(rows).join(shared, "key").where(F.col("c") >= enough).select("key", "n", "first")
-
-
-def _classes(rows: DataFrame) -> DataFrame:
-    return rows.where("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.min("doc").alias("first"))
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc long, n long, key long")
 
 
 def _fragments(docs: DataFrame, text_col: str, count: int) -> DataFrame:
@@ -205,15 +93,21 @@ def _fragments(docs: DataFrame, text_col: str, count: int) -> DataFrame:
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "fragment int, keys binary, sizes binary, counts binary, low binary")
 
 
+def _unpack(low: bytes) -> np.ndarray:
+    wide = np.zeros((len(low) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
 def _shared_in_fragment(buckets: int):
     """For a fragment: which shingles occur in two classes or more, dealt to
-    buckets of classes.  Tokens are the fragment's number and 40 bits of hash."""
+    buckets of classes.  A class stands once in its bucket's row, with the number
+    of its shingles there; they are 40 bits of hash in the row's fragment."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        fragment = int(group.fragment.iloc[0])
         keys = np.concatenate([np.repeat(np.frombuffer(k, _U), np.frombuffer(c, "<u4")) for k, c in zip(group["keys"], group["counts"], strict=True)])
         sizes = np.concatenate([np.repeat(np.frombuffer(s, "<u4"), np.frombuffer(c, "<u4")) for s, c in zip(group["sizes"], group["counts"], strict=True)])
-        low = np.concatenate([_unpack(x, 5) for x in group["low"]])
+        low = np.concatenate([_unpack(x) for x in group["low"]])
         order = np.lexsort((keys, low))
         keys, sizes, low = keys[order], sizes[order], low[order]
         fresh = np.ones(len(low), bool)
@@ -224,32 +118,35 @@ def _shared_in_fragment(buckets: int):
         spread = np.repeat(counts, counts)
         many = spread > 1
         keys, sizes, low, spread = keys[many], sizes[many], low[many], spread[many]
-        tokens = (_U(fragment) << _U(40)) | low
         rarity = np.minimum(255, 8 * np.log2(spread)).astype(np.uint8)
         bucket = (mix(keys) % _U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((keys, bucket))
+        keys, sizes, low, rarity = keys[order], sizes[order], low[order], rarity[order]
         bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = []
-        for b in range(buckets):
-            own = order[bounds[b] : bounds[b + 1]]
-            if len(own):
-                rows.append((b, keys[own].tobytes(), sizes[own].astype("<u4").tobytes(), tokens[own].tobytes(), rarity[own].tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "keys", "sizes", "tokens", "rarity"])
+        rows, fragment = [], int(group.fragment.iloc[0])
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
+            s, e = bounds[b], bounds[b + 1]
+            own, at, each = np.unique(keys[s:e], return_index=True, return_counts=True)
+            rows.append((b, fragment, own.tobytes(), sizes[s:e][at].astype("<u4").tobytes(), each.astype("<u4").tobytes(), low[s:e].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), rarity[s:e].tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "fragment", "keys", "sizes", "counts", "low", "rarity"])
 
     return run
 
 
 def _candidates_of_bucket(part: int, whole: int):
     """For a bucket of classes: those whose shared shingles suffice for a link,
-    with their shared shingles in global order and cut into pieces."""
+    with their shared shingles in global order and cut into pieces.  Tokens are
+    the fragment's number and 40 bits of hash."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        keys, tokens = (np.concatenate([np.frombuffer(x, _U) for x in group[c]]) for c in ("keys", "tokens"))
-        sizes = np.concatenate([np.frombuffer(x, "<u4") for x in group["sizes"]]).astype(np.int64)
+        counts = [np.frombuffer(x, "<u4") for x in group["counts"]]
+        spread = lambda column, kind: np.concatenate([np.repeat(np.frombuffer(x, kind), c) for x, c in zip(group[column], counts, strict=True)])
+        keys, sizes = spread("keys", _U), spread("sizes", "<u4").astype(np.int64)
+        tokens = np.concatenate([(_U(f) << _U(40)) | _unpack(x) for f, x in zip(group["fragment"], group["low"], strict=True)])
         rarity = np.concatenate([np.frombuffer(x, np.uint8) for x in group["rarity"]])
-        _, at, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        _, at, inverse, held = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
         need = -(-sizes[at] * part // whole)
-        stays = (counts >= need)[inverse]
+        stays = (held >= need)[inverse]
         keys, tokens, sizes, rarity = keys[stays], tokens[stays], sizes[stays], rarity[stays]
         order = np.lexsort((tokens, rarity, keys))
         keys, tokens, sizes = keys[order], tokens[order].view(np.int64), sizes[order]
@@ -325,18 +222,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     part, whole = percent, 100
-    rows = cut(shingle_classes(docs, id_col, text_col, part, whole))
-    classes = _classes(rows)
-    staying = cut(_survivors(rows, part, whole))
-    size = 8 * (staying.agg(F.sum("n")).first()[0] or 0)
+    rows = cut(shingle_classes(docs, id_col, text_col))
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc").alias("first"))
+    size = 6 * (rows.agg(F.sum("n")).first()[0] or 0)
     n = max(parts(spark), -(-size // FRAGMENT_BYTES))
-    # Planned by the size of the written table: broadcast while that is small, else a shuffle of the texts.
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    texts = texts.join(staying.select("first").distinct(), F.col("_id").eqNullSafe(F.col("first")), "left_semi").select("_text")
     sets = cut(
-        _fragments(texts, "_text", n)
+        _fragments(docs, text_col, n)
         .groupBy("fragment")
-        .applyInPandas(_shared_in_fragment(n), "bucket int, keys binary, sizes binary, tokens binary, rarity binary")
+        .applyInPandas(_shared_in_fragment(n), "bucket int, fragment int, keys binary, sizes binary, counts binary, low binary, rarity binary")
         .groupBy("bucket")
         .applyInPandas(_candidates_of_bucket(part, whole), "key long, n long, shared long, prefix array<long>, pieces array<array<long>>")
     )
@@ -351,7 +244,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = cut(_across(posts, counted, roots, part, whole))
     links = links.unionByName(_linked(_overlaps(rest, sets), part, whole))
     roots = components(links).withColumnRenamed("node", "key")
-    drop(staying, sets, posts, counted, rest)  # roots are written
+    drop(sets, posts, counted, rest)  # roots are written
     joined = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     to = joined.join(smallest, "root").select("key", "component_id")
