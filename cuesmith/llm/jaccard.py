@@ -33,7 +33,7 @@ from .shingles import mix, shingle_sets, slices
 #: Vertical fragments in which a pair's overlap is counted.
 PIECES = 8
 #: Bytes of shingles that a fragment or bucket holds at a time, about; there are as many as that takes.
-FRAGMENT_BYTES = 12 << 20
+FRAGMENT_BYTES = 6 << 20
 _U = np.uint64
 
 
