@@ -49,6 +49,8 @@ IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript
 #: Silent elements that a page may fail to close: the next tag of their name tells.
 UNCLOSED = {tag: re.compile(rf"<(/?){tag}\b", re.I) for tag in ("button", "select")}
 SIGMA, REACH = 1.0, 3
+#: Bytes of pages that are taken together.
+PART = 1 << 20
 KERNEL = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-REACH, REACH + 1)]
 
 
@@ -337,7 +339,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, 2):
+            for rows in slices(batch, 2, PART):
                 texts = [main_text(x.as_py()) for x in rows.column(2)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

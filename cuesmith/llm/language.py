@@ -10,6 +10,7 @@ turn: their probabilities are averaged by their numbers of bytes.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ WIDTHS = (2, 3, 4)
 LOOK = max(WIDTHS) - 1
 #: The model is fitted on about so many labelled texts of each language, and a passage of so many characters of each, from a place that its id's hash chooses; predictions read whole texts.
 SAMPLE_TEXTS, SAMPLE_CHARS = 600, 1024
-#: Bytes that a task convolves at a time.
-SLICE = 1 << 18
+#: Bytes that a task convolves at a time, and of the texts whose windows it lays out at a time.
+SLICE, PART = 1 << 18, 1 << 20
 
 
 class ByteNet:
@@ -162,32 +163,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train([r["t"] for r in sample], [r["l"] for r in sample]) if sample else None
 
 
-def guessed(docs: DataFrame, net: ByteNet | None, text: Column) -> Column:
-    """struct<l: string, s: double> of a text: the net's likeliest language and its
-    probability, null and 0 without a net.  Other columns don't pass through Python."""
-    spread = docs.sparkSession.sparkContext.broadcast(net)  # some 20 kB, whatever the corpus
-
-    @F.arrow_udf("struct<l: string, s: double>")
-    def guess(texts: pa.Array) -> pa.Array:
-        model, langs, scores = spread.value, [], []
-        whole = pa.RecordBatch.from_arrays([texts], ["t"])
-        for rows in slices(whole, 0):
-            if model is None:
-                langs += [None] * len(rows)
-                scores += [0.0] * len(rows)
-            else:
-                p = model.texts(rows.column(0))
-                langs += [model.languages[i] for i in p.argmax(1)]
-                scores += p.max(1).tolist()
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["l", "s"])
-
-    return guess(text)
-
-
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
+def _guesses(model: ByteNet | None, texts: pa.Array) -> tuple[list[str | None], np.ndarray]:
+    """The likeliest language of each text and its probability; null and 0 without a net."""
+    if model is None or not len(texts):
+        return [None] * len(texts), np.zeros(len(texts))
+    p = model.texts(texts)
+    return [model.languages[i] for i in p.argmax(1)], p.max(1)
+
+
 def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every whole text.
 
@@ -195,10 +182,18 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
     row if there is no net; null ids are not held out.  Repeated rows get the
     same; an empty table gives an empty result; other columns are ignored.
     """
+    spread = docs.sparkSession.sparkContext.broadcast(net)  # some 20 kB, whatever the corpus
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in (x for batch in batches for x in slices(batch, 1, PART)):
+            langs, scores = _guesses(spread.value, rows.column(1))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "letter", "l", "s"])
+
     text = F.col(text_col).cast("string")
-    seen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), has_letter(text).alias("letter"), guessed(docs, net, text).alias("g"))
-    sure = F.col("letter") & F.col("g.l").isNotNull()
-    return seen.select("doc_id", "held_out", F.when(sure, F.col("g.l")).otherwise("und").alias("lang_pred"), F.when(sure, F.col("g.s")).otherwise(0.0).alias("score"))
+    seen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text, F.coalesce(held_out(id_col), F.lit(False)), has_letter(text))
+    seen = seen.mapInArrow(run, "doc_id long, held_out boolean, letter boolean, l string, s double")
+    sure = F.col("letter") & F.col("l").isNotNull()
+    return seen.select("doc_id", "held_out", F.when(sure, F.col("l")).otherwise("und").alias("lang_pred"), F.when(sure, F.col("s")).otherwise(0.0).alias("score"))
 
 
 def keep_identified(docs: DataFrame, net: ByteNet | None, least: float, text_col: str = "text") -> DataFrame:
@@ -206,5 +201,11 @@ def keep_identified(docs: DataFrame, net: ByteNet | None, least: float, text_col
     with a score of least or more; decided within the row, so nothing is shuffled.
     Null texts, texts without a letter and, without a net, all rows go; repeated
     rows are judged alike; an empty table stays empty."""
-    text = F.col(text_col).cast("string")
-    return docs.where(has_letter(text)).where(guessed(docs, net, text)["s"] >= least)
+    spread = docs.sparkSession.sparkContext.broadcast(net)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in (x for batch in batches for x in slices(batch, place, PART)):
+            yield rows.filter(pa.array(_guesses(spread.value, rows.column(place))[1] >= least))
+
+    return docs.where(has_letter(F.col(text_col))).mapInArrow(run, docs.schema)

@@ -33,8 +33,8 @@ LEAST, LEAST_PLAIN = 8, 20
 COVER = range(12, 3, -1)
 BESIDE = 48
 TREES, DEPTH, LEAF = 30, 9, 2
-#: Bytes of text that are searched at a time.
-SLICE = 1 << 21
+#: Bytes of text that are searched at a time, and of the rows that are taken together.
+SLICE = PART = 1 << 21
 
 # Words of dictionary coverage, and words near true and false findings.
 WORDS = "the and for with that this from have will your you are not but all can was one out use new time page file path name user home data test example sample demo local host mail info config default value string number type class object index list map set get put post null true false none change changeme here insert replace placeholder dummy fake mock todo secret password token key api access auth login admin root public private client server service account database table column version release build commit branch master main image photo video audio chapter section article report order invoice product model phone street city country com org net www http https html php json xml csv txt pdf png jpg".split()
@@ -278,7 +278,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, 1):
+            for rows in slices(batch, 1, PART):
                 ids = rows.column(0).to_pylist()
                 out = [(ids[r], s, n, v, p, p >= 0.5) for r, s, n, v, p in find(rows.column(1), rows.column(2).to_pylist())]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_()]
@@ -296,13 +296,13 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", path_col: str = "sou
     pass by unread.
     """
 
-    @F.arrow_udf("string")
-    def masked(text: pa.Array, path: pa.Array) -> pa.Array:
-        out: list[str | None] = []
-        for rows in slices(pa.RecordBatch.from_arrays([text, path], ["t", "p"]), 0):
-            values = rows.column(0).to_pylist()
-            spans: dict[int, list[tuple[int, int]]] = {}
-            for row, start, n, _, score in find(rows.column(0), rows.column(1).to_pylist()):
+    places = docs.columns.index(text_col), docs.columns.index(path_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in (x for batch in batches for x in slices(batch, places[0], PART)):
+            texts, paths = (rows.column(p).cast(pa.string()) for p in places)
+            values, spans = texts.to_pylist(), {}
+            for row, start, n, _, score in find(texts, paths.to_pylist()):
                 if score >= 0.5:
                     spans.setdefault(row, []).append((start, n))
             for row, own in spans.items():
@@ -311,7 +311,6 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", path_col: str = "sou
                     pieces += [value[at:start], MASK]
                     at = start + n
                 values[row] = "".join(pieces) + value[at:]
-            out += values
-        return pa.array(out, pa.string())
+            yield rows.set_column(places[0], rows.schema.field(places[0]), pa.array(values, pa.string()).cast(rows.schema.field(places[0]).type))
 
-    return docs.withColumn(text_col, masked(F.col(text_col).cast("string"), F.col(path_col).cast("string")))
+    return docs.mapInArrow(run, docs.schema)

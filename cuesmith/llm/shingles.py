@@ -52,12 +52,14 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of whole rows of at most BATCH_BYTES of text (a longer row alone)."""
+def slices(batch: pa.RecordBatch, column: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of whole rows of at most so many bytes of text, BATCH_BYTES
+    unless given (a longer row alone)."""
+    most = most or BATCH_BYTES
     offsets = text_buffer(batch.column(column))[1]
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
 
