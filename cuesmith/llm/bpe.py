@@ -25,7 +25,7 @@ from .shingles import slices
 
 LEAF = 2
 #: Entries of each of a task's two generations of remembered pre-tokens, and of the remembered parts of at most PART bytes.
-REMEMBERED, PART = 200_000, 8
+REMEMBERED, PART = 120_000, 8
 #: From so many bytes on a window's merges are kept in a heap.
 HEAPED = 48
 

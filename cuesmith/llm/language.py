@@ -25,7 +25,7 @@ LOOK = max(WIDTHS) - 1
 #: The model is fitted on about so many labelled texts of each language, and a passage of so many characters of each, from a place that its id's hash chooses; predictions read whole texts.
 SAMPLE_TEXTS, SAMPLE_CHARS = 600, 1024
 #: Bytes that a task convolves at a time, and of the texts whose windows it lays out at a time.
-SLICE, PART = 1 << 18, 1 << 20
+SLICE, PART = 1 << 16, 1 << 20
 
 
 class ByteNet:

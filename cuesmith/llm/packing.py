@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, parts
+from .shingles import slices
 
 SEQUENCE = 4096
 #: The id that ends each document.
@@ -27,9 +28,9 @@ END = 1
 #: Slots of one stretch of a run.
 STRETCH = 1024
 #: Entries of each of a task's two generations of remembered words.
-REMEMBERED = 500_000
-#: Words of letters that are encoded at a time.
-TOGETHER = 64
+REMEMBERED = 250_000
+#: Words of letters that are encoded at a time, and bytes of text that are taken together.
+TOGETHER, PART = 64, 1 << 20
 
 
 def _stays_letter(c: str) -> bool:
@@ -106,8 +107,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, size: int, vocabul
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = word_ids(vocabulary), END.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
+            for rows in slices(batch, 1, PART):
                 out: list[list] = [[], [], [], [], []] + [[]] * with_ids
                 for doc, ids in zip(rows.column(0).to_pylist(), coder.texts([t or "" for t in rows.column(1).to_pylist()]), strict=True):
                     ids += end

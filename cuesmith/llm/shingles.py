@@ -18,7 +18,7 @@ WIDTH = 5
 SLICE = 1 << 20
 LONG_WORD = 48
 #: Bytes of text whose sets are held at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
