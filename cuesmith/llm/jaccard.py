@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, drop, parts
+from .shared import cut, drop, give_back, parts
 from .shingles import mix, shingle_sets, slices
 
 #: Vertical fragments in which a pair's overlap is counted.
@@ -56,6 +56,7 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             hashes, sizes = shingle_sets(batch.column(1))
             keys = pa.array(_class_keys(hashes, sizes).view(np.int64), mask=sizes == 0)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), keys], ["doc", "n", "key"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc long, n long, key long")
 
@@ -89,6 +90,7 @@ def _fragments(docs: DataFrame, text_col: str, count: int) -> DataFrame:
                 at = end
             kinds = [pa.int32(), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["fragment", "keys", "sizes", "counts", "low"])
+        give_back()
 
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "fragment int, keys binary, sizes binary, counts binary, low binary")
 
@@ -128,6 +130,8 @@ def _shared_in_fragment(buckets: int):
             s, e = bounds[b], bounds[b + 1]
             own, at, each = np.unique(keys[s:e], return_index=True, return_counts=True)
             rows.append((b, fragment, own.tobytes(), sizes[s:e][at].astype("<u4").tobytes(), each.astype("<u4").tobytes(), low[s:e].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), rarity[s:e].tobytes()))
+        del keys, sizes, low, rarity, fresh, order, many, spread, bucket
+        give_back()
         return pd.DataFrame(rows, columns=["bucket", "fragment", "keys", "sizes", "counts", "low", "rarity"])
 
     return run

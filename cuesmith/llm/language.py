@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import give_back
 from .shingles import slices, text_buffer
 
 CLASSES, EMBED, FILTERS, WINDOW = 48, 12, 12, 256
@@ -188,6 +189,7 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
         for rows in (x for batch in batches for x in slices(batch, 1, PART)):
             langs, scores = _guesses(spread.value, rows.column(1))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "letter", "l", "s"])
+        give_back()
 
     text = F.col(text_col).cast("string")
     seen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text, F.coalesce(held_out(id_col), F.lit(False)), has_letter(text))
@@ -207,5 +209,6 @@ def keep_identified(docs: DataFrame, net: ByteNet | None, least: float, text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in (x for batch in batches for x in slices(batch, place, PART)):
             yield rows.filter(pa.array(_guesses(spread.value, rows.column(place))[1] >= least))
+        give_back()
 
     return docs.where(has_letter(F.col(text_col))).mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, parts
+from .shared import cut, give_back, parts
 from .shingles import slices
 
 SEQUENCE = 4096
@@ -28,7 +28,7 @@ END = 1
 #: Slots of one stretch of a run.
 STRETCH = 1024
 #: Entries of each of a task's two generations of remembered words.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: Words of letters that are encoded at a time, and bytes of text that are taken together.
 TOGETHER, PART = 64, 1 << 20
 
@@ -117,6 +117,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, size: int, vocabul
                             column.append(value)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=False)], [x.split()[0] for x in kind.split(", ")])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, kind)
 

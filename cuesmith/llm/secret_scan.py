@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import give_back
 from .shingles import slices, text_buffer
 
 MASK = "[SECRET]"
@@ -312,5 +313,6 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", path_col: str = "sou
                     at = start + n
                 values[row] = "".join(pieces) + value[at:]
             yield rows.set_column(places[0], rows.schema.field(places[0]), pa.array(values, pa.string()).cast(rows.schema.field(places[0]).type))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

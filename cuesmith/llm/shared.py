@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,3 +44,13 @@ def drop(*tables: DataFrame) -> None:
 def parts(spark: SparkSession) -> int:
     """The cluster's number of shuffle partitions, set to suit the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: Python workers live on and
+    serve later stages, beside a JVM that has grown by then."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps its memory
