@@ -4,7 +4,8 @@ All shingles have one global order (rarest first).  The order is cut into
 fragments; a first pass over the fragments counts, for each shingle, in how many
 different sets it occurs, and for each set how many of its shingles occur
 elsewhere.  A set that links must share the threshold's part of its shingles, so
-most sets leave here.  What stays is joined on prefixes of the order, and each
+most sets leave here.  Shingles that very many texts hold, found on a sample of
+texts, need no such count and are dealt to many groups.  What stays is joined on prefixes of the order, and each
 candidate pair's overlap is counted fragment by fragment and summed per pair.
 
 Equal sets form one class and are joined as one.  Within a posting list not all
@@ -18,6 +19,7 @@ and no list, candidate or partner count is capped.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,12 @@ from .shingles import mix, shingle_sets, slices
 PIECES = 8
 #: Bytes of shingles that a fragment or bucket holds at a time, about; there are as many as that takes.
 FRAGMENT_BYTES = 6 << 20
+#: A shingle of about so many texts spreads over groups; with its classes it takes up to 13 bytes of each.
+HOT = 1 << 16
+#: One of so many texts, by hash, is read to find such shingles.
+SAMPLED = 64
+#: So many shingles may be listed as frequent: 8 MB.
+MOST_HOT = 1 << 20
 _U = np.uint64
 
 
@@ -61,33 +69,67 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc long, n long, key long")
 
 
-def _fragments(docs: DataFrame, text_col: str, count: int) -> DataFrame:
-    """Sets cut at the fragments' bounds.  A batch sends one row for each
-    fragment, with every class once, whatever number of its copies it holds."""
+def _classes_once(column: pa.Array, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sets of the column's texts, those of a class that this task has not seen:
+    shingles, each one's row, the rows' keys and sizes, and the classes seen by now."""
+    hashes, sizes = shingle_sets(column)
+    keys = _class_keys(hashes, sizes)
+    first = np.zeros(len(sizes), bool)
+    first[np.unique(keys, return_index=True)[1]] = True
+    first &= (sizes > 0) & ~np.isin(keys, seen)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    kept = first[rows]
+    return hashes[kept], rows[kept], keys, sizes, np.union1d(seen, keys[first])
+
+
+def _frequent(docs: DataFrame, text_col: str, total: int) -> np.ndarray:
+    """Shingles that about HOT texts or more hold, the most frequent last; counted in
+    one of SAMPLED texts.  They only spread over more groups: results do not depend
+    on which they are, but one run must use one list.  Of total shingles, at most
+    MOST_HOT can be listed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, _U)
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            hashes, _, _, _, seen = _classes_once(batch.column(0), seen)
+            own, counts = np.unique(hashes, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(counts, pa.int64())], ["hash", "c"])
+        give_back()
+
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+    counted = texts.mapInArrow(run, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
+    found = counted.where(F.col("c") >= max(HOT, total // MOST_HOT) // SAMPLED).orderBy("c", "hash").select("hash").collect()
+    return np.array([r[0] for r in found], np.int64).view(_U)
+
+
+def _fragments(docs: DataFrame, text_col: str, count: int, frequent: np.ndarray) -> DataFrame:
+    """Sets cut at the fragments' bounds.  A batch sends one row for each fragment
+    that it has shingles of, and a task every class once, whatever number of its
+    copies it holds.  Frequent shingles are tokens of one more fragment, dealt to
+    as many groups again by shingle and class, so none gathers in a group."""
+    by_hash = np.argsort(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, _U)
         for batch in (part for whole in batches for part in slices(whole, 0)):
-            hashes, sizes = shingle_sets(batch.column(0))
-            keys = _class_keys(hashes, sizes)
-            first = np.zeros(len(sizes), bool)
-            first[np.unique(keys, return_index=True)[1]] = True
-            first &= sizes > 0
-            rows = np.repeat(np.arange(len(sizes)), sizes)
-            kept = first[rows]
-            hashes, rows = hashes[kept], rows[kept]
-            fragment = ((hashes >> _U(32)) * _U(count)) >> _U(32)
-            order = np.argsort(fragment.astype(np.int32), kind="stable")
-            hashes, rows, fragment = hashes[order], rows[order], fragment[order]
-            ends = np.searchsorted(fragment, np.arange(count), "right")
+            hashes, rows, keys, sizes, seen = _classes_once(batch.column(0), seen)
+            if not len(hashes):
+                continue
+            fragment = (((hashes >> _U(32)) * _U(count)) >> _U(32)).astype(np.int32)
+            low = hashes.copy()
+            if len(frequent):
+                spot = by_hash[np.minimum(np.searchsorted(frequent, hashes, sorter=by_hash), len(frequent) - 1)]
+                hot = np.flatnonzero(frequent[spot] == hashes)
+                low[hot] = spot[hot]
+                fragment[hot] = count + (mix(keys[rows[hot]] ^ mix(hashes[hot])) % _U(count)).astype(np.int32)
+            order = np.argsort(fragment, kind="stable")
+            low, rows, fragment = low[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], rows[order], fragment[order]
+            bounds = np.flatnonzero(np.concatenate(([True], fragment[1:] != fragment[:-1], [True]))).tolist()
             out: list[list] = [[], [], [], [], []]
-            at = 0
-            for f, end in enumerate(ends):
-                if end > at:
-                    own, counts = np.unique(rows[at:end], return_counts=True)
-                    low = hashes[at:end].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                    for column, value in zip(out, (f, keys[own].tobytes(), sizes[own].astype("<u4").tobytes(), counts.astype("<u4").tobytes(), low.tobytes()), strict=True):
-                        column.append(value)
-                at = end
+            for at, end in itertools.pairwise(bounds):
+                own, counts = np.unique(rows[at:end], return_counts=True)
+                for column, value in zip(out, (int(fragment[at]), keys[own].tobytes(), sizes[own].astype("<u4").tobytes(), counts.astype("<u4").tobytes(), low[at:end].tobytes()), strict=True):
+                    column.append(value)
             kinds = [pa.int32(), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["fragment", "keys", "sizes", "counts", "low"])
         give_back()
@@ -118,18 +160,20 @@ def _shared_in_fragment(buckets: int):
         starts = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
         counts = np.diff(np.append(starts, len(low)))
         spread = np.repeat(counts, counts)
-        many = spread > 1
+        fragment = int(group.fragment.iloc[0])
+        frequent = fragment >= buckets
+        many = (spread > 1) | frequent
         keys, sizes, low, spread = keys[many], sizes[many], low[many], spread[many]
-        rarity = np.minimum(255, 8 * np.log2(spread)).astype(np.uint8)
+        rarity = np.full(len(low), 255, np.uint8) if frequent else np.minimum(254, 8 * np.log2(spread)).astype(np.uint8)
         bucket = (mix(keys) % _U(buckets)).astype(np.int64)
         order = np.lexsort((keys, bucket))
         keys, sizes, low, rarity = keys[order], sizes[order], low[order], rarity[order]
-        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows, fragment = [], int(group.fragment.iloc[0])
-        for b in np.flatnonzero(np.diff(bounds)).tolist():
-            s, e = bounds[b], bounds[b + 1]
+        bucket = bucket[order]
+        bounds = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))).tolist() if len(bucket) else []
+        rows = []
+        for s, e in itertools.pairwise(bounds):
             own, at, each = np.unique(keys[s:e], return_index=True, return_counts=True)
-            rows.append((b, fragment, own.tobytes(), sizes[s:e][at].astype("<u4").tobytes(), each.astype("<u4").tobytes(), low[s:e].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), rarity[s:e].tobytes()))
+            rows.append((int(bucket[s]), min(fragment, buckets), own.tobytes(), sizes[s:e][at].astype("<u4").tobytes(), each.astype("<u4").tobytes(), low[s:e].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), rarity[s:e].tobytes()))
         del keys, sizes, low, rarity, fresh, order, many, spread, bucket
         give_back()
         return pd.DataFrame(rows, columns=["bucket", "fragment", "keys", "sizes", "counts", "low", "rarity"])
@@ -228,10 +272,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     part, whole = percent, 100
     rows = cut(shingle_classes(docs, id_col, text_col))
     classes = rows.where("key is not null").groupBy("key").agg(F.min("doc").alias("first"))
-    size = 6 * (rows.agg(F.sum("n")).first()[0] or 0)
-    n = max(parts(spark), -(-size // FRAGMENT_BYTES))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    n = max(parts(spark), -(-6 * total // FRAGMENT_BYTES))
     sets = cut(
-        _fragments(docs, text_col, n)
+        _fragments(docs, text_col, n, _frequent(docs, text_col, total))
         .groupBy("fragment")
         .applyInPandas(_shared_in_fragment(n), "bucket int, fragment int, keys binary, sizes binary, counts binary, low binary, rarity binary")
         .groupBy("bucket")
