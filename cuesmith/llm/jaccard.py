@@ -34,8 +34,13 @@ from .shingles import mix, shingle_sets, slices
 
 #: Vertical fragments in which a pair's overlap is counted.
 PIECES = 8
-#: Bytes of shingles that a fragment or bucket holds at a time, about; there are as many as that takes.
-FRAGMENT_BYTES = 6 << 20
+#: Bytes that a fragment holds, about; there are as many as that takes.  In small
+#: fragments a class stands for few shingles each time, so its key costs more than they.
+FRAGMENT_BYTES = 48 << 20
+#: Bytes of a shingle alone in its fragment: its own, its class's key and two counts, compressed.
+SHINGLE_BYTES = 16
+#: Shingles that are sorted at a time: of a fragment by their hash, or a bucket's classes whole.
+STEP = 1 << 20
 #: A shingle of about so many texts spreads over groups; with its classes it takes up to 13 bytes of each.
 HOT = 1 << 16
 #: One of so many texts, by hash, is read to find such shingles.
@@ -143,38 +148,57 @@ def _unpack(low: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _shared_in_fragment(buckets: int):
+def _shared(keys: np.ndarray, sizes: np.ndarray, low: np.ndarray, frequent: bool) -> tuple[np.ndarray, ...]:
+    """Keys, sizes, shingles and rarity of each class's shingles that another class has."""
+    order = np.lexsort((keys, low))
+    keys, sizes, low = keys[order], sizes[order], low[order]
+    fresh = np.ones(len(low), bool)
+    fresh[1:] = (low[1:] != low[:-1]) | (keys[1:] != keys[:-1])
+    keys, sizes, low = keys[fresh], sizes[fresh], low[fresh]
+    if frequent:
+        return keys, sizes, low, np.full(len(low), 255, np.uint8)
+    counts = np.diff(np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1], [True]))))
+    spread = np.repeat(counts, counts)
+    many = spread > 1
+    return keys[many], sizes[many], low[many], np.minimum(254, 8 * np.log2(spread[many])).astype(np.uint8)
+
+
+def _bucket_rows(keys: np.ndarray, sizes: np.ndarray, low: np.ndarray, rarity: np.ndarray, buckets: int, fragment: int) -> Iterator[tuple]:
+    """A row for each bucket of classes, where a class stands once with the number
+    of its shingles there."""
+    bucket = (mix(keys) % _U(buckets)).astype(np.int64)
+    order = np.lexsort((keys, bucket))
+    keys, sizes, low, rarity, bucket = keys[order], sizes[order], low[order], rarity[order], bucket[order]
+    for s, e in itertools.pairwise(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))).tolist()):
+        own, at, each = np.unique(keys[s:e], return_index=True, return_counts=True)
+        yield int(bucket[s]), fragment, own.tobytes(), sizes[s:e][at].astype("<u4").tobytes(), each.astype("<u4").tobytes(), low[s:e].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), rarity[s:e].tobytes()
+
+
+def _shared_in_fragment(count: int, buckets: int):
     """For a fragment: which shingles occur in two classes or more, dealt to
-    buckets of classes.  A class stands once in its bucket's row, with the number
-    of its shingles there; they are 40 bits of hash in the row's fragment."""
+    buckets of classes.  They are 40 bits of hash in the row's fragment.  Groups
+    from ``count`` on hold frequent shingles, last in the order, by their place in
+    the list; all of them go on.  A fragment's bytes are held as they came, and
+    about STEP of its shingles are looked at in one go, by their hash."""
+    most = STEP
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.repeat(np.frombuffer(k, _U), np.frombuffer(c, "<u4")) for k, c in zip(group["keys"], group["counts"], strict=True)])
-        sizes = np.concatenate([np.repeat(np.frombuffer(s, "<u4"), np.frombuffer(c, "<u4")) for s, c in zip(group["sizes"], group["counts"], strict=True)])
-        low = np.concatenate([_unpack(x) for x in group["low"]])
-        order = np.lexsort((keys, low))
-        keys, sizes, low = keys[order], sizes[order], low[order]
-        fresh = np.ones(len(low), bool)
-        fresh[1:] = (low[1:] != low[:-1]) | (keys[1:] != keys[:-1])
-        keys, sizes, low = keys[fresh], sizes[fresh], low[fresh]
-        starts = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        counts = np.diff(np.append(starts, len(low)))
-        spread = np.repeat(counts, counts)
         fragment = int(group.fragment.iloc[0])
-        frequent = fragment >= buckets
-        many = (spread > 1) | frequent
-        keys, sizes, low, spread = keys[many], sizes[many], low[many], spread[many]
-        rarity = np.full(len(low), 255, np.uint8) if frequent else np.minimum(254, 8 * np.log2(spread)).astype(np.uint8)
-        bucket = (mix(keys) % _U(buckets)).astype(np.int64)
-        order = np.lexsort((keys, bucket))
-        keys, sizes, low, rarity = keys[order], sizes[order], low[order], rarity[order]
-        bucket = bucket[order]
-        bounds = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))).tolist() if len(bucket) else []
-        rows = []
-        for s, e in itertools.pairwise(bounds):
-            own, at, each = np.unique(keys[s:e], return_index=True, return_counts=True)
-            rows.append((int(bucket[s]), min(fragment, buckets), own.tobytes(), sizes[s:e][at].astype("<u4").tobytes(), each.astype("<u4").tobytes(), low[s:e].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), rarity[s:e].tobytes()))
-        del keys, sizes, low, rarity, fresh, order, many, spread, bucket
+        frequent = fragment >= count
+        steps = _U(-(-sum(map(len, group["low"])) // (5 * most)))
+        rows, held, waiting = [], [], 0
+        for step in range(int(steps)):
+            mine = []
+            for k, n, c, low in zip(group["keys"], group["sizes"], group["counts"], group["low"], strict=True):
+                low, counts = _unpack(low), np.frombuffer(c, "<u4")
+                here = np.flatnonzero((low % steps if frequent else (low * steps) >> _U(40)) == step)
+                mine.append((np.repeat(np.frombuffer(k, _U), counts)[here], np.repeat(np.frombuffer(n, "<u4"), counts)[here], low[here]))
+            held.append(_shared(*map(np.concatenate, zip(*mine, strict=True)), frequent))
+            waiting += len(held[-1][0])
+            if waiting >= most or step + 1 == steps:
+                if waiting:
+                    rows += _bucket_rows(*map(np.concatenate, zip(*held, strict=True)), buckets, min(fragment, count))
+                held, waiting = [], 0
         give_back()
         return pd.DataFrame(rows, columns=["bucket", "fragment", "keys", "sizes", "counts", "low", "rarity"])
 
@@ -273,11 +297,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = cut(shingle_classes(docs, id_col, text_col))
     classes = rows.where("key is not null").groupBy("key").agg(F.min("doc").alias("first"))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    n = max(parts(spark), -(-6 * total // FRAGMENT_BYTES))
+    n = max(parts(spark), -(-SHINGLE_BYTES * total // FRAGMENT_BYTES))
+    buckets = max(parts(spark), -(-total // STEP))
     sets = cut(
         _fragments(docs, text_col, n, _frequent(docs, text_col, total))
         .groupBy("fragment")
-        .applyInPandas(_shared_in_fragment(n), "bucket int, fragment int, keys binary, sizes binary, counts binary, low binary, rarity binary")
+        .applyInPandas(_shared_in_fragment(n, buckets), "bucket int, fragment int, keys binary, sizes binary, counts binary, low binary, rarity binary")
         .groupBy("bucket")
         .applyInPandas(_candidates_of_bucket(part, whole), "key long, n long, shared long, prefix array<long>, pieces array<array<long>>")
     )
