@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import keep, take_over
 from .shingles import slices
 
 LEAF = 2
@@ -154,12 +155,16 @@ def encoder(path: str | None = None) -> TreeEncoder:
     return TreeEncoder(ranks, public_tokenizers.PATTERN)
 
 
+keep("bpe", encoder.cache_clear)
+
+
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>, decoded binary) of every whole text.  A null text
     counts as empty and has no ids; nulls in other columns, repeated rows and
     further columns change nothing; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("bpe")
         coder = encoder(ranks)
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
@@ -175,6 +180,7 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bytes that the ids decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("bpe")
         coder = encoder(ranks)
         for batch in batches:
             counts, of_ids, of_bytes = [], [], []

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, drop, give_back, parts
+from .shared import cut, drop, give_back, parts, take_over
 from .shingles import mix, shingle_sets, slices
 
 #: Vertical fragments in which a pair's overlap is counted.
@@ -65,6 +65,7 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents of equal sets share (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("jaccard")
         for batch in (part for whole in batches for part in slices(whole, 1)):
             hashes, sizes = shingle_sets(batch.column(1))
             keys = pa.array(_class_keys(hashes, sizes).view(np.int64), mask=sizes == 0)
@@ -94,6 +95,7 @@ def _frequent(docs: DataFrame, text_col: str, total: int) -> np.ndarray:
     MOST_HOT can be listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("jaccard")
         seen = np.zeros(0, _U)
         for batch in (part for whole in batches for part in slices(whole, 0)):
             hashes, _, _, _, seen = _classes_once(batch.column(0), seen)
@@ -115,6 +117,7 @@ def _fragments(docs: DataFrame, text_col: str, count: int, frequent: np.ndarray)
     by_hash = np.argsort(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("jaccard")
         seen = np.zeros(0, _U)
         for batch in (part for whole in batches for part in slices(whole, 0)):
             hashes, rows, keys, sizes, seen = _classes_once(batch.column(0), seen)

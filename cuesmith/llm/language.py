@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import give_back
+from .shared import give_back, take_over
 from .shingles import slices, text_buffer
 
 CLASSES, EMBED, FILTERS, WINDOW = 48, 12, 12, 256
@@ -186,6 +186,7 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
     spread = docs.sparkSession.sparkContext.broadcast(net)  # some 20 kB, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("language")
         for rows in (x for batch in batches for x in slices(batch, 1, PART)):
             langs, scores = _guesses(spread.value, rows.column(1))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "letter", "l", "s"])
@@ -207,6 +208,7 @@ def keep_identified(docs: DataFrame, net: ByteNet | None, least: float, text_col
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("language")
         for rows in (x for batch in batches for x in slices(batch, place, PART)):
             yield rows.filter(pa.array(_guesses(spread.value, rows.column(place))[1] >= least))
         give_back()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, give_back, parts
+from .shared import cut, give_back, keep, parts, take_over
 from .shingles import slices
 
 SEQUENCE = 4096
@@ -100,11 +100,15 @@ def word_ids(path: str | None = None) -> WordIds:
     return WordIds(path)
 
 
+keep("packing", word_ids.cache_clear)
+
+
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, size: int, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) and, if asked for, the ids."""
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("packing")
         coder, end = word_ids(vocabulary), END.to_bytes(4, "little")
         for batch in batches:
             for rows in slices(batch, 1, PART):

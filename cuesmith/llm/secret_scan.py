@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import give_back
+from .shared import give_back, take_over
 from .shingles import slices, text_buffer
 
 MASK = "[SECRET]"
@@ -278,6 +278,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("secrets")
         for batch in batches:
             for rows in slices(batch, 1, PART):
                 ids = rows.column(0).to_pylist()
@@ -300,6 +301,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", path_col: str = "sou
     places = docs.columns.index(text_col), docs.columns.index(path_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("secrets")
         for rows in (x for batch in batches for x in slices(batch, places[0], PART)):
             texts, paths = (rows.column(p).cast(pa.string()) for p in places)
             values, spans = texts.to_pylist(), {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,23 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep(owner: str, forget: Callable[[], None]) -> None:
+    """Say how to forget what an operator remembers in a Python worker between its tasks."""
+    _KEPT[owner] = forget
+
+
+def take_over(owner: str) -> None:
+    """At a task's start: what other operators remember in this worker is forgotten,
+    as their words would stand beside this one's tables for as long as it lives."""
+    for name, forget in _KEPT.items():
+        if name != owner:
+            forget()
+    give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system at a task's end: Python workers live on and
     serve later stages, beside a JVM that has grown by then."""
