@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, jaccard, language, license_scan, neighbours, packing, quality, secret_scan, url_rules
+from . import bpe, html_text, jaccard, language, license_scan, minhash, neighbours, packing, quality, resampling, secret_scan, url_rules, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,20 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extraction, op2_ngram_jaccard_join, op3_secret_scans, op4_quality_rules, op5_nearest_neighbours, op6_byte_bpe, op7_url_filters, op8_language_id, op9_best_fit_packing, op10_license_scans)
+    found = (op1_html_extraction, op2_ngram_jaccard_join, op3_secret_scans, op4_quality_rules, op5_nearest_neighbours, op6_byte_bpe, op7_url_filters, op8_language_id, op9_best_fit_packing, op10_license_scans, op11_embedding_whitening, op12_importance_resampling, op13_minhash_near_dedup)
     return {f.__name__: f for f in found}
 
 
@@ -92,6 +104,36 @@ WITH v AS (
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10
 """
 
+#: CRC-32 by its table of 256 entries over each distinct word's bytes.
+OP12_SQL = r"""
+WITH crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) AS r(i))
+), w AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+  UNION ALL SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), f AS (SELECT side, id, unnest(ws) AS g FROM w
+), h AS (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM f)
+), b AS (
+  SELECT g, xor(list_reduce(list_transform(range(CAST(length(x) / 2 AS BIGINT)), lambda k: (strpos('0123456789ABCDEF', x[2 * k + 1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2 * k + 2]) - 1), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM h, crc
+), c AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f JOIN b USING (g) GROUP BY bucket
+), n AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM c
+), gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((c.t + 1) * (n.s + 10000) AS DOUBLE) / ((c.s + 1) * (n.t + 10000)))) AS BIGINT) AS gain FROM c, n
+), weight AS (SELECT id, count(*) AS n_features, CAST((sum(gain) - ((sum(gain) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS weight FROM f JOIN b USING (g) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY id
+), scored AS (
+  SELECT id AS doc_id, len(ws) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM w LEFT JOIN weight USING (id) WHERE side = 'd'
+), ranked AS (SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) END AS r FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= (SELECT count(*) FILTER (words >= 20) * 10 // 100 FROM scored) THEN r END AS rank FROM ranked
+"""
+
+#: As for op2, with shingles of 3 words and 85 of 100.
+OP13_SQL = (
+    OP2_SQL.replace("len(w) < 5", "len(w) < 3").replace("len(w) - 3", "len(w) - 1").replace("i + 4", "i + 2").replace("100 * c2 >= 80", "100 * c2 >= 85")
+    .replace("AS component_id FROM k", "AS component_id, k.doc_id = coalesce(m.root, k.doc_id) AS kept FROM k")
+)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": OP2_SQL, "op5_nearest_neighbours": OP5_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op5_nearest_neighbours": OP5_SQL, "op12_importance_resampling": OP12_SQL, "op13_minhash_near_dedup": OP13_SQL}
