@@ -3,11 +3,13 @@
 A set's signature is its minimum under each of BANDS * ROWS universal hashes.
 Sets that agree in all minima of a band meet in its bucket.  In a bucket, sets
 first meet the most popular one, which of a family of copies is the one that the
-others were made from; links are confirmed on full sets and made to components by
-alternating stars.  After that only pairs of different components are left in a
-bucket: the most alike pair of each two components is tried first, then, of what
-is still apart, every pair.  A pair is taken up for confirmation unless its
-signatures differ more than those of linked sets ever do, or its sizes do.
+others were made from; what they share with it is counted on full sets, and links
+are made to components by alternating stars.  After that only pairs of different
+components are left in a bucket, and of two sets counted against one hub only those
+that share something outside it, or that it holds almost whole.  The most alike
+pair of each two components is tried first, then, of what is still apart, every
+pair.  A pair is taken up for confirmation on full sets unless its signatures
+differ more than those of linked sets ever do, or its sizes do.
 
 At the threshold two sets miss each other in every band with a chance of about
 1e-8 (a similarity of 0.85: (1 - 0.85 ** 6) ** 40); nothing else loses a link, and
@@ -165,20 +167,35 @@ def _unpacked(data: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose full sets have the threshold's similarity."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    met = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
+    return met.select("a", "b", "sa", "sb")
+
+
+def _counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, held, outside) of pairs: how many members of a's full set are in
+    b's, and those that are not, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
+            rows: list[list] = [[], [], [], []]
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = _unpacked(x.as_py()), _unpacked(y.as_py())
-                both = len(np.intersect1d(x, y))
-                kept.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(kept, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+                inside = np.isin(x, y, assume_unique=True)
+                for column, value in zip(rows, (len(x), len(y), int(inside.sum()), x[~inside].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c, pa.int64()) for c in rows[:3]], pa.array(rows[3], pa.binary())], ["a", "b", "na", "nb", "held", "outside"])
 
-    met = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
-    return met.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return _with_sets(pairs, sets).mapInArrow(run, "a long, b long, na long, nb long, held long, outside binary")
+
+
+def _linked(counted: DataFrame, percent: int) -> DataFrame:
+    return counted.where(100 * F.col("held") >= percent * (F.col("na") + F.col("nb") - F.col("held"))).select("a", "b")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs whose full sets have the threshold's similarity."""
+    return _linked(_counted(pairs, sets).drop("outside"), percent)
 
 
 def allowed_gap(percent: int) -> int:
@@ -205,14 +222,66 @@ def _alike(pairs: DataFrame, x: str, y: str, percent: int) -> DataFrame:
     return pairs.where((100 * nx >= percent * ny) & (100 * ny >= percent * nx)).withColumn("gap", _gap(f"sig_{x}", f"sig_{y}")).where(F.col("gap") <= allowed_gap(percent))
 
 
-def _across(met: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ra, rb, gap): the verified pairs of a bucket that are in different components."""
-    known = met.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    split = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    known = known.join(split, "bucket", "left_semi").join(classes.select("key", "n", "sig"), "key")
-    side = lambda s: known.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "root", "n", "sig")])
-    pairs = _alike(side("a").join(side("b"), "bucket").where("root_a < root_b"), "a", "b", percent)
-    return pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.col("root_a").alias("ra"), F.col("root_b").alias("rb"), "gap")
+def _pairs(left: DataFrame, right: DataFrame, on: list[str], percent: int, bound: Column | None = None) -> DataFrame:
+    """Verified pairs (a, b, ra, rb, gap) of rows that meet on a key and are in
+    different components; left and right have key, root, n and sig."""
+    side = lambda df, s: df.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c not in on])
+    met = side(left, "a").join(side(right, "b"), on).where("root_a <> root_b")
+    pairs = _alike(met if bound is None else met.where(bound), "a", "b", percent)
+    turned = F.col("root_a") < F.col("root_b")
+    ends = [F.when(turned, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(n) for c, n in (("key", "a"), ("root", "ra"))]
+    others = [F.when(turned, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(n) for c, n in (("key", "b"), ("root", "rb"))]
+    return pairs.select(*ends, *others, "gap")
+
+
+def _across(met: DataFrame, classes: DataFrame, counted: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ra, rb, gap): the verified pairs of different components that may link.
+
+    A set's pivot is the hub that it was counted against, or itself.  Two sets of
+    one pivot that it holds too little of to link by that alone must share a member
+    outside it, and are met there: of a family's many members that are all unlike
+    each other no pairs are made.
+    """
+    roots = roots.withColumnRenamed("node", "key")
+    pivots = counted.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "held")
+    sets = classes.select("key", "n", "sig").join(roots, "key", "left").join(pivots, "key", "left")
+    sets = sets.select("key", "n", "sig", F.coalesce("root", "key").alias("root"), F.coalesce("pivot", "key").alias("pivot"), F.coalesce("held", "n").alias("held"))
+    known = met.select("bucket", "key").join(sets, "key")
+    # A bucket's main pivot and, of its sets, the main component: all others meet all, and these not each other.
+    split = known.groupBy("bucket", "pivot", "root").agg(F.count("*").alias("c"), F.min("n").alias("least"))
+    split = split.groupBy("bucket", "pivot").agg(F.sum("c").alias("c"), F.max(F.struct("c", "root")).alias("most"), F.min("least").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    split = split.groupBy("bucket").agg(F.max(F.struct("c", "pivot", "most.root")).alias("main"), F.min("least").alias("least"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+    known = known.join(split.select("bucket", "least", F.col("main.pivot").alias("main"), F.col("main.root").alias("main_root")), "bucket")
+    rows = known.select("bucket", "key", "root", "n", "sig", "pivot", "held")
+    suffices = lambda held, n, m: held * (100 + percent) >= (n + m) * percent
+    within = suffices(F.least("held_a", "held_b"), F.col("n_a"), F.col("n_b"))
+    others = _pairs(known.where(F.col("pivot") != F.col("main")).select(*rows.columns), rows, ["bucket"], percent, (F.col("pivot_a") != F.col("pivot_b")) | within)
+    able = (F.col("pivot") == F.col("main")) & suffices(F.col("held"), F.col("n"), F.col("least"))
+    near = _pairs(known.where(able & (F.col("root") != F.col("main_root"))).select(*rows.columns), known.where(able).select(*rows.columns), ["bucket"], percent, within)
+    return others.unionByName(near).unionByName(_outside(counted, sets, roots, percent))
+
+
+def _outside(counted: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """The verified pairs of one pivot that share members outside it, met on the rarest of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for top in range(0, batch.num_rows, 64):
+                part = batch.slice(top, 64)
+                tokens = [_unpacked(x.as_py()).view(np.int64) for x in part.column(part.num_columns - 1)]
+                at = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at)) for c in part.columns[:-1]], pa.array(np.concatenate(tokens))], ["pivot", "key", "root", "token"])
+
+    known = counted.join(roots.select(F.col("key").alias("a"), "root"), "a", "left")
+    posts = known.select(F.col("b").alias("pivot"), F.col("a").alias("key"), F.coalesce("root", "a").alias("root"), "outside").mapInArrow(run, "pivot long, key long, root long, token long")
+    common = posts.groupBy("pivot", "token").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("pivot", "token", "c")
+    held = posts.join(common, ["pivot", "token"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("tokens"))
+    held = held.join(sets, "key").withColumn("lone", F.size("tokens"))
+    need = F.greatest(F.lit(1), F.ceil(percent * F.col("n") / 100) - F.col("held")).cast("int")
+    first = held.where(F.col("lone") >= need).withColumn("token", F.explode(F.slice("tokens", F.lit(1), F.col("lone") - need + 1))).select("pivot", F.col("token.token").alias("token"), "key", "root", "n", "sig", "held", "lone")
+    most = F.least("held_a", "held_b") + F.least("lone_a", "lone_b")
+    bound = (F.col("key_a") < F.col("key_b")) & (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    return _pairs(first, first, ["pivot", "token"], percent, bound)
 
 
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -240,20 +309,19 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hubs = met.join(popular, "key").groupBy("bucket").agg(F.max(F.struct("pop", "key")).alias("hub")).select("bucket", F.col("hub.key").alias("hub"))
     shared = met.join(hubs, "bucket").where("key <> hub").groupBy("key", "hub").agg(F.count("*").alias("count"))
     first = shared.groupBy("key").agg(F.max(F.struct("count", "hub")).alias("best")).select(F.col("key").alias("a"), F.col("best.hub").alias("b"))
-    of = lambda s: classes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
-    first = _alike(first.join(of("a"), "a").join(of("b"), "b"), "a", "b", percent).select("a", "b")
     sets = cut(_full_sets(docs, text_col, width).join(met.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
-    links = cut(_confirmed(first, sets, percent))
+    counted = cut(_counted(first, sets))
+    links = _linked(counted, percent)
     roots = components(links)
     # Of each two components the most alike pair.
-    best = cut(_across(met, classes, roots, percent).groupBy("ra", "rb").agg(F.min(F.struct("gap", "a", "b")).alias("p")).select("p.a", "p.b"))
+    best = cut(_across(met, classes, counted, roots, percent).groupBy("ra", "rb").agg(F.min(F.struct("gap", "a", "b")).alias("p")).select("p.a", "p.b"))
     more = cut(_confirmed(best, sets, percent))
     joined = links.unionByName(more)
     now = components(joined)
-    rest = cut(_across(met, classes, now, percent).select("a", "b").distinct().join(best, ["a", "b"], "left_anti"))
+    rest = cut(_across(met, classes, counted, now, percent).select("a", "b").distinct().join(best, ["a", "b"], "left_anti"))
     last = cut(_confirmed(rest, sets, percent))
     all_roots = components(joined.unionByName(last)).withColumnRenamed("node", "key")
-    drop(classes, met, sets, links, best, more, rest, last, roots, now)
+    drop(classes, met, sets, counted, best, more, rest, last, roots, now)
     return _with_components(rows, all_roots)
 
 
