@@ -34,9 +34,12 @@ BOILER_ROLES = frozenset("navigation banner contentinfo complementary search for
 # Classes and ids of such elements as a whole, and of reader comments; words within a class or id that only speak against content.
 NEVER = frozenset("ad ads advert adverts advertisement advertising sponsored masthead breadcrumb breadcrumbs nav navbar navigation menu pagination pager footer sidebar consent cookie cookies cookie-banner cookie-notice notice notices newsletter popup modal".split())
 COMMENTS = frozenset("comment comments comment-list comments-area commentlist disqus disqus_thread reader-comments replies respond".split())
-AGAINST = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted promotion related share sharing sidebar social sponsor sponsored subscribe subscription widget".split())
-#: What a character counts for in an element whose class or id has a word of AGAINST.
-DOUBT = 0.25
+AGAINST = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification pagination paywall popup promo promoted promotion related share sharing sidebar social sponsor sponsored subscribe subscription widget".split())
+# Those that speak against content beside any word, and words that say nothing of it beside the others.
+CLEARLY = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus gdpr navbar newsletter pagination paywall popup promo promoted sidebar sponsored subscribe".split())
+PLAIN = frozenset("a article articles area bar block body bottom box btn button buttons card column container content entry form group inner item items left link links list main news outer overlay page pane panel post posts primary right row secondary section signup site slot stories story strip the top unit wrap wrapper zone".split())
+# Words that tell of a page's state or plan instead of the element's kind.
+STATES = frozenset("has with without no is show hide layout".split())
 COMMENT_HEADING = re.compile(r"\W*(?:\d+\W+)?(?:reader |user )?(?:comments?|responses|replies|leave a (?:reply|comment)|kommentare?|commentaires?|comentarios?)(?:\W+\d+)?\W*", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Containers of lines; a cell counts as one only for the blocks inside it.
@@ -54,11 +57,24 @@ PART = 1 << 20
 KERNEL = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-REACH, REACH + 1)]
 
 
+def _speaks_against(tag: str, name: str) -> bool:
+    """Whether a class or id marks its element as no content, however long it is:
+    by a clear word, or where all its words are marks or say nothing.  A section
+    named by one unclear word alone may be content, as may what is named by a word
+    of another kind (a social-history)."""
+    words = {w for w in re.split(r"[-_]+|\d+", name) if w}
+    marks = words & AGAINST
+    if "header" in words and words & {"site", "global", "top"} and not words & STATES:
+        return True
+    if not marks or words & STATES:
+        return False
+    return bool(marks & CLEARLY) or words <= AGAINST | PLAIN and not (tag == "section" and len(words) == 1)
+
+
 def _worth(tag: str, attrs: list[tuple[str, str | None]], in_story: bool) -> float:
-    """What a character inside the element counts for: 0, DOUBT or 1."""
+    """What a character inside the element counts for: 0 or 1."""
     if tag in BOILER or tag == "header" and not in_story:
         return 0.0
-    worth = 1.0
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in BOILER_ROLES:
             return 0.0
@@ -66,9 +82,9 @@ def _worth(tag: str, attrs: list[tuple[str, str | None]], in_story: bool) -> flo
             names = value.lower().split()
             if not COMMENTS.isdisjoint(names) or tag != "article" and not NEVER.isdisjoint(names) or "header" in names and not in_story:
                 return 0.0
-            if tag != "article" and not AGAINST.isdisjoint(value.lower().replace("-", " ").replace("_", " ").split()):
-                worth = DOUBT
-    return worth
+            if tag != "article" and any(_speaks_against(tag, n) for n in names):
+                return 0.0
+    return 1.0
 
 
 class Lines(HTMLParser):
