@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f's inner functions use it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two arrays of 64-bit words, over the shorter one's length."""
     n = F.least(F.size(a), F.size(b))
@@ -27,8 +34,14 @@ def hex_words(value: Column) -> Column:
 
 def average_hash(pixels: Column) -> Column:
     """Bits of the pixels that are at or over the mean, as an array of 0 and 1."""
-    mean = F.aggregate(pixels, F.lit(0.0), lambda s, x: s + x) / F.size(pixels)
-    return F.transform(pixels, lambda p: F.when(p >= mean, 1).otherwise(0))
+    mean = lambda own: F.aggregate(own, F.lit(0.0), lambda s, x: s + x) / F.size(own)
+    return bound(pixels, lambda own: bound(mean(own), lambda m: F.transform(own, lambda p: F.when(p >= m, 1).otherwise(0))))
+
+
+def packed_words(bits: Column) -> Column:
+    """Bits (0 and 1, a multiple of 64) as 64-bit words, the first bit of a word its highest."""
+    word = lambda own, k: F.aggregate(F.slice(own, k * 64 + 1, F.lit(64)), F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b.cast("long")))
+    return bound(bits, lambda own: F.transform(F.sequence(F.lit(0), F.floor(F.size(own) / 64).cast("int") - 1), lambda k: word(own, k)))
 
 
 def fingerprint_similarity(a: Column, b: Column, reach: int = 3, least: int = 8) -> Column:

@@ -143,9 +143,12 @@ def preview(text: Column, head: int = 24, tail: int = 6) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sorts by text, runs of digits by their number (up to 20 digits)."""
+    """Sorts by text, runs of digits by their number: a run is its length without
+    leading zeros, in six digits, and then its digits, however many."""
     parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    number = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    sized = lambda p: F.concat(F.lpad(F.length(number(p)).cast("string"), 6, "0"), number(p))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), sized(p)).otherwise(p)), "")
 
 
 def episode(name: Column, fallback: Column) -> Column:

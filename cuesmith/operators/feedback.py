@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .medians import exact_medians
+
 
 def latest_records(records: DataFrame, keys: list[str], import_id: str = "import_id", seq: str = "seq") -> DataFrame:
     """The newest record of each key: a larger import id wins, any wins over none,
@@ -32,14 +34,18 @@ def account_plays(latest: DataFrame, account: str, plays: str) -> DataFrame:
 
 
 def number_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """count, min, median (middle two averaged) and max of each group."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.median(value).alias("middle"), F.max(value).alias("most"))
+    """count, min, median (middle two averaged) and max of each group; a group
+    without values has a count of 0 and nulls."""
+    ends = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
+    middle = exact_medians(df, by, value).select(F.struct(*by).alias("_g"), "middle")
+    return ends.withColumn("_g", F.struct(*by)).join(middle, "_g", "left").select(*by, "n", "least", "middle", "most")
 
 
 def calibration(df: DataFrame, duplicate: Column, value: str, least_duplicates: int = 5, least_normal: int = 10) -> DataFrame:
     """One row: both medians, or too few samples for them."""
-    v, dup = F.col(value), F.coalesce(duplicate, F.lit(False))
-    both = df.agg(F.count(F.when(dup, v)).alias("n_duplicate"), F.count(F.when(~dup, v)).alias("n_normal"), F.median(F.when(dup, v)).alias("d"), F.median(F.when(~dup, v)).alias("m"))
+    flagged = df.select(F.coalesce(duplicate, F.lit(False)).alias("dup"), F.col(value).alias("v"))
+    of = lambda kind, c: F.max(F.when(F.col("dup") == kind, F.col(c)))
+    both = exact_medians(flagged, ["dup"], "v").agg(F.coalesce(of(True, "n"), F.lit(0).cast("long")).alias("n_duplicate"), F.coalesce(of(False, "n"), F.lit(0).cast("long")).alias("n_normal"), of(True, "middle").alias("d"), of(False, "middle").alias("m"))
     enough = (F.col("n_duplicate") >= least_duplicates) & (F.col("n_normal") >= least_normal)
     return both.select("n_duplicate", "n_normal", enough.alias("enough"), F.when(enough, F.col("d")).alias("duplicate_median"), F.when(enough, F.col("m")).alias("normal_median"))
 

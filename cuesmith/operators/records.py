@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import natural_key
+
 
 def basename(path: Column) -> Column:
     """A path's last part in lower case."""
@@ -44,19 +46,49 @@ def _grams(text: Column, n: int | Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
 
 
-def match_contained(tokens: DataFrame, names: DataFrame, token: str, name: str, order: str) -> DataFrame:
+def containing(short: DataFrame, long: DataFrame, n: int = 4) -> DataFrame:
+    """(s, l) of the texts s of short and l of long (columns ``s`` and ``l``, distinct)
+    where l contains s.
+
+    A text longer than n meets long ones only through that of its grams of n
+    characters which the fewest of them hold; a shorter one by itself, through the
+    grams of its own length.
+    """
+    grams = lambda c, k: F.array_distinct(F.when(F.length(c) >= k, _grams(F.col(c), k)).otherwise(F.array().cast("array<string>")))
+    asked = short.where(F.length("s") > 0).withColumn("gram", F.explode(F.when(F.length("s") >= n, grams("s", n)).otherwise(F.array("s"))))
+    held = long.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array(*[grams("l", k) for k in range(1, n + 1)])))))
+    held = held.join(asked.select("gram").distinct(), "gram", "left_semi")
+    counts = held.groupBy("gram").agg(F.count("*").alias("c"))
+    # A gram that no long text holds rules the short one out.
+    rarest = asked.join(counts, "gram", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram")).alias("r")).where("r.c > 0")
+    return rarest.select("s", F.col("r.gram").alias("gram")).join(held, "gram").where(F.contains("l", F.col("s"))).select("s", "l")
+
+
+def match_contained(tokens: DataFrame, names: DataFrame, token: str, name: str, order: str, stems: bool = False) -> DataFrame:
     """tokens with the name that each fits: the equal one, else the first by order
-    that contains it, else null.
+    that contains it, else null; several rows of one name count as its first.
 
-    Names are met through their character grams, as long as the token but at most
-    three, so that a token meets only names which hold its first gram.
+    With ``stems``, letters' case and blanks around a token don't count, a name is
+    also equal without its extension, and a name fits as well if the token contains
+    it without that (names are matched without it there).
     """
-    cut = F.array_distinct(F.flatten(F.array(*[F.when(F.length(name) >= n, _grams(F.col(name), n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)])))
-    held = names.select(F.col(name), F.col(order), F.explode(cut).alias("_gram"))
-    asked = tokens.where(F.length(token) > 0).select(token, F.substring(token, 1, 3).alias("_gram")).distinct()
-    met = asked.join(held, "_gram").where(F.contains(name, F.col(token)))
-    best = met.groupBy(token).agg(F.min_by(name, F.struct(F.col(name) != F.col(token), F.col(order))).alias(name))
-    return tokens.join(best, token, "left")
+    lowered = lambda c: F.lower(F.btrim(c, F.lit(" \t\n\v\f\r"))) if stems else F.col(c)
+    stem = lambda c: F.when(F.locate(".", F.substr(c, F.lit(2))) > 0, F.regexp_replace(c, r"\.[^.]*$", "")).otherwise(c) if stems else c
+    once = names.groupBy(name).agg(F.min(order).alias("_o"))
+    known = once.select(F.col(name).alias("_name"), "_o", (F.lower(name) if stems else F.col(name)).alias("_whole")).withColumn("_stem", stem(F.col("_whole")))
+    asked = tokens.select(lowered(token).alias("s")).where("s <> ''").distinct()
+    first = F.min(F.struct("_o", "_name"))
+    equal = known.select("_o", "_name", F.explode(F.array_distinct(F.array("_whole", "_stem"))).alias("s")).join(asked, "s", "left_semi").groupBy("s").agg(first.alias("best"))
+    rest = asked.join(equal, "s", "left_anti")
+    by_stem = known.where("_stem <> ''").groupBy("_stem").agg(first.alias("best"))
+    texts = by_stem.select(F.col("_stem").alias("l"))
+    met = containing(rest, texts)
+    if stems:
+        back = containing(texts.withColumnRenamed("l", "s"), rest.withColumnRenamed("s", "l"))
+        met = met.unionByName(back.select(F.col("l").alias("s"), F.col("s").alias("l"))).distinct()
+    within = met.join(by_stem, F.col("l") == F.col("_stem")).groupBy("s").agg(F.min("best").alias("best"))
+    found = equal.unionByName(within).select("s", F.col("best._name").alias(name))
+    return tokens.withColumn("s", lowered(token)).join(found, "s", "left").drop("s")
 
 
 def records_of(records: DataFrame, key: str, batch: Column, files: DataFrame, file: str) -> DataFrame:
@@ -91,14 +123,15 @@ def account_slots(count: Column, labels: list[str]) -> Column:
     return F.transform(F.sequence(F.lit(1), count), lambda i: F.coalesce(F.get(given, i - 1), F.concat(F.lit("A"), F.lpad(i.cast("string"), 2, "0"))))
 
 
-def resolve_paths(wanted: DataFrame, listing: DataFrame, value: str) -> DataFrame:
+def resolve_paths(wanted: DataFrame, listing: DataFrame, value: str, by_root: bool = False) -> DataFrame:
     """wanted with the listed path that each value names: the same path, else a
-    direct child of the first root, else the shortest path of that basename.
+    direct child of the first root, else the shortest path of that basename, or with
+    ``by_root`` the first by root and name.
     listing: path, root (number), depth (1: direct child)."""
     names = listing.select("path", "root", "depth", basename(F.col("path")).alias("_name"))
     met = wanted.select(value).distinct().withColumn("_name", basename(F.col(value))).join(names, "_name")
     kind = F.when(F.col("path") == F.col(value), 0).when(F.col("depth") == 1, 1).otherwise(2)
-    place = F.struct(kind, F.when(kind == 1, F.col("root")).otherwise(0), F.length("path"), "path")
+    place = F.struct(kind, F.when((kind == 1) | (F.lit(by_root) & (kind == 2)), F.col("root")).otherwise(0), F.when(F.lit(by_root), 0).otherwise(F.length("path")), "path")
     return wanted.join(met.groupBy(value).agg(F.min_by("path", place).alias("path")), value, "left")
 
 
@@ -261,3 +294,47 @@ def extended_lexicon(base: DataFrame, extra: DataFrame) -> DataFrame:
     each word is in a category once."""
     rows = base.select("category", "word").unionByName(extra.select("category", "word"))
     return rows.select("category", F.btrim("word", F.lit(" \t\n\v\f\r")).alias("word")).where("word <> ''").distinct()
+
+
+def pending(tasks: DataFrame, done: DataFrame, key: str, group: str, order: str) -> DataFrame:
+    """(group, key, place): tasks that are not done, each once, in order within their group."""
+    left = tasks.select(group, key, order).dropDuplicates([group, key]).join(done.select(key).distinct(), key, "left_anti")
+    return left.select(group, key, F.row_number().over(Window.partitionBy(group).orderBy(order, key)).alias("place"))
+
+
+def error_class(message: Column, classes: dict[str, tuple[str, ...]], other: str = "other") -> Column:
+    """The first class with a term that the message holds, in any case of letters."""
+    low, out = F.lower(F.coalesce(message, F.lit(""))), None
+    for name, terms in classes.items():
+        holds = F.lit(False)
+        for t in terms:
+            holds = holds | F.contains(low, F.lit(t.lower()))
+        out = F.when(holds, name) if out is None else out.when(holds, name)
+    return F.lit(other) if out is None else out.otherwise(other)
+
+
+def step_summary(jobs: DataFrame, by: list[str], ok: Column, at: Column, message: Column, classes: dict[str, tuple[str, ...]]) -> DataFrame:
+    """by, successes, failures, a count for each error class, and per_hour: the
+    successes over the hours from the first to the last job (``at``: seconds), to
+    two places; null where that is no time."""
+    good = F.coalesce(ok, F.lit(False))
+    kinds = jobs.select(*by, good.alias("_ok"), at.cast("double").alias("_at"), F.when(~good, error_class(message, classes)).alias("_kind"))
+    span = F.max("_at") - F.min("_at")
+    counts = [F.count_if(F.col("_kind") == c).alias(c) for c in [*classes, "other"]]
+    return kinds.groupBy(*by).agg(F.count_if("_ok").alias("successes"), F.count_if(~F.col("_ok")).alias("failures"), *counts, F.when(span > 0, F.round(F.count_if("_ok") * 3600 / span, 2)).alias("per_hour"))
+
+
+def audio_entries(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """(folder, place, index, file, seconds): a folder's recordings in order.
+
+    manifest: folder, row, index (text), file, seconds (text).  Rows without a file
+    are left out; an index that is no whole number is the row's number; rows are
+    ordered by index and then the file's natural name.  A folder that has no such
+    row has its plain files (folder, file), numbered in natural order.
+    """
+    blank = lambda c: F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\v\f\r\""))
+    rows = manifest.select("folder", F.coalesce(F.expr("try_cast(trim(index) AS INT)"), F.col("row")).cast("long").alias("index"), blank(F.col("file")).alias("file"), F.expr("try_cast(trim(seconds) AS DOUBLE)").alias("seconds")).where("file <> ''")
+    plain = files.join(rows.select("folder").distinct(), "folder", "left_anti").select("folder", F.lit(None).cast("long").alias("index"), "file", F.lit(None).cast("double").alias("seconds"))
+    place = F.row_number().over(Window.partitionBy("folder").orderBy("index", natural_key(basename(F.col("file"))), "file", "seconds"))
+    every = rows.unionByName(plain).withColumn("place", place)
+    return every.select("folder", "place", F.coalesce("index", F.col("place").cast("long")).alias("index"), "file", "seconds")

@@ -43,11 +43,18 @@ def quota_durations(lines: DataFrame, cues: DataFrame, track: str) -> DataFrame:
     whole = cued.groupBy(track).agg(F.max("cum").alias("all"), F.max_by("c_end", "cum").alias("c_last"))
     own = lines.withColumn("script", F.sum("chars").over(by)).join(whole, track)
     own = own.withColumn("quota", F.greatest(F.lit(1), F.bround(F.col("all") * F.col("chars") / F.col("script"))).cast("long"))
-    own = own.withColumn("want", F.sum("quota").over(run("index"))).select(F.col(track).alias("_track"), "index", "total", "want", "c_last")
-    met = own.join(cued, [F.col("_track") == F.col(track), F.col("want") <= F.col("cum"), F.col("want") > F.col("cum") - F.col("c_chars")], "left")
+    own = own.withColumn("want", F.sum("quota").over(run("index"))).select(track, "index", "total", "want", "c_last")
+    # Lines and cues in one order, from the end: a line's cue is the last one seen, the first to reach its quota.
+    none = lambda kind: F.lit(None).cast(kind)
+    cue = F.struct("c_start", "c_end", "c_chars", "cum")
+    marks = cued.select(track, none(lines.schema["index"].dataType).alias("index"), none("double").alias("total"), none("double").alias("c_last"), F.col("cum").alias("at"), cue.alias("cue"))
+    wanted = own.select(track, "index", F.col("total").cast("double").alias("total"), F.col("c_last").cast("double").alias("c_last"), F.col("want").alias("at"), none(marks.schema["cue"].dataType).alias("cue"))
+    back = by.orderBy(F.desc("at"), F.col("cue").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = wanted.unionByName(marks).withColumn("cue", F.last("cue", ignorenulls=True).over(back)).where("index IS NOT NULL")
+    met = met.select(track, "index", "total", F.col("at").alias("want"), "c_last", "cue.*")
     part = (F.col("want") - (F.col("cum") - F.col("c_chars"))) / F.col("c_chars")
     at = F.when(F.col("want") == F.col("cum"), F.col("c_end")).otherwise(F.col("c_start") + part * (F.col("c_end") - F.col("c_start")))
-    ends = met.select(F.col("_track").alias(track), "index", "total", F.coalesce(at, F.col("c_last")).alias("stop"))
+    ends = met.select(track, "index", "total", F.coalesce(at, F.col("c_last")).alias("stop"))
     is_last = F.row_number().over(by.orderBy(F.desc("index"))) == 1
     ends = ends.withColumn("is_last", is_last).withColumn("stop", F.when(F.col("is_last"), F.col("total")).otherwise(F.least("stop", "total")))
     ends = ends.withColumn("stop", F.greatest(F.max("stop").over(run("index")), F.lit(0.0)))

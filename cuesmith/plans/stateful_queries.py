@@ -69,16 +69,16 @@ def error_classes(spark, sf_dir):
 
 
 def _cue_files(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("double").alias("start"), (F.col("turn") + 0.5).alias("end"), F.regexp_replace(F.substring("text", 1, 40), r"\s+", " ").alias("text"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("double").alias("start"), (F.col("turn") + 0.5).alias("end"), F.regexp_replace("text", r"\s+", " ").alias("text"))
     return sinks.subtitle_text(c, "conv_id")
 
 
-@query("k03_subtitle_text", "SELECT conv_id, string_agg(k || chr(10) || printf('%02d:%02d:%02d,000', turn // 3600, turn // 60 % 60, turn % 60) || ' --> ' || printf('%02d:%02d:%02d,500', turn // 3600, turn // 60 % 60, turn % 60) || chr(10) || t || chr(10), chr(10) ORDER BY k) AS content FROM (SELECT conv_id, turn, trim(t) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM (SELECT conv_id, turn, regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g') AS t FROM conversations) WHERE trim(t) <> '') GROUP BY conv_id")
+@query("k03_subtitle_text", "SELECT conv_id, string_agg(k || chr(10) || printf('%02d:%02d:%02d,000', turn // 3600, turn // 60 % 60, turn % 60) || ' --> ' || printf('%02d:%02d:%02d,500', turn // 3600, turn // 60 % 60, turn % 60) || chr(10) || t || chr(10), chr(10) ORDER BY k) AS content FROM (SELECT conv_id, turn, trim(t) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM (SELECT conv_id, turn, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM conversations) WHERE trim(t) <> '') GROUP BY conv_id")
 def subtitle_text(spark, sf_dir):
     return _cue_files(spark, sf_dir)
 
 
-@query("s09_parsed_cues", "SELECT conv_id, CAST(turn AS DOUBLE) AS start, turn + 0.5::DOUBLE AS \"end\", trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g')) AS text FROM conversations WHERE trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g')) <> ''")
+@query("s09_parsed_cues", "SELECT conv_id, CAST(turn AS DOUBLE) AS start, turn + 0.5::DOUBLE AS \"end\", trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
 def parsed_cues(spark, sf_dir):
     return _cue_files(spark, sf_dir).select("conv_id", F.explode(tables.cues_of(F.col("content"))).alias("c")).select("conv_id", "c.start", "c.end", "c.text")
 

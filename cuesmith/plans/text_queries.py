@@ -119,7 +119,7 @@ def previews(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
 
 
-@query("r07_natural_order", "SELECT 'take' || (p_partkey % 120) || '.mp4' AS name, 'take' || lpad(CAST(p_partkey % 120 AS VARCHAR), 20, '0') || '.mp' || lpad('4', 20, '0') AS sort_key FROM part")
+@query("r07_natural_order", "SELECT 'take' || (p_partkey % 120) || '.mp4' AS name, 'take' || lpad(CAST(length(CAST(p_partkey % 120 AS VARCHAR)) AS VARCHAR), 6, '0') || (p_partkey % 120) || '.mp0000014' AS sort_key FROM part")
 def natural_order(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.expr("concat('take', p_partkey % 120, '.mp4')").alias("name"))
     return p.select("name", text.natural_key(F.col("name")).alias("sort_key"))
@@ -165,13 +165,6 @@ def hash_pairs(spark, sf_dir):
     return p.select("left_id", "right_id", s.alias("similarity")).withColumn("level", similar.level(F.col("similarity"), 0.75, 0.65))
 
 
-@query("j05_banded_pairs", f"WITH {_SIGNS} SELECT l.vec_id AS left_id, r.vec_id AS right_id, CAST(hamming(l.bits, r.bits) AS INTEGER) AS distance FROM s l JOIN s r ON l.vec_id < r.vec_id AND hamming(l.bits, r.bits) <= 7")
-def banded_pairs(spark, sf_dir):
-    """Pairs of at most 7 differing bits: of 8 bands one must then agree, so this loses none."""
-    p = similarity.blocked_pairs(signs(spark, sf_dir), "vec_id", similarity.bands(F.col("bits"), 8, 8), ["hash"])
-    return p.select("left_id", "right_id", similar.hamming(F.col("l_hash"), F.col("r_hash")).alias("distance")).where("distance <= 7")
-
-
 _CENTRED = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT vec_id, label, list_transform(v, lambda t: t - list_sum(v) / len(v)) AS c FROM e), n AS (SELECT vec_id, label, c, sqrt(list_sum(list_transform(c, lambda t: t * t))) AS norm FROM c)"
 _COSINE = "CASE WHEN l.norm < 1e-9 AND r.norm < 1e-9 THEN 1.0::DOUBLE WHEN l.norm < 1e-9 OR r.norm < 1e-9 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, (list_sum(list_transform(list_zip(l.c, r.c), lambda x: x[1] * x[2])) / (l.norm * r.norm) + 1) / 2)) END"
 

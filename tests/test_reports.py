@@ -36,3 +36,32 @@ def test_selections_are_used_again_only_whole(spark):
     lines = spark.createDataFrame([("a", 2), ("b", 2), ("c", 2), ("d", 0)], "track string, lines long")
     files = spark.createDataFrame([("x",), ("y",), ("y",)], "file string")
     assert {r["track"] for r in sinks.reusable_selections(saved, lines, files, "track").collect()} == {"a"}
+
+
+def test_contained_names_by_their_rarest_gram(spark):
+    from cuesmith.operators.records import containing, match_contained
+
+    names = ["the hall.mp4", "hall.mp4", "long road.mov", "x.mp4", "Kitchen scene.mp4", "scene", ".hidden", "aaaa.mp4"]
+    tokens = ["hall", "HALL.mp4", " road ", "kitchen", "the hall at night", "nothing", "", None, "x", "aa", "an x-ray", ".hidden"]
+    t = spark.createDataFrame([(k, x) for k, x in enumerate(tokens)], "k int, token string")
+    n = spark.createDataFrame([(x, k) for k, x in enumerate(names)] + [("hall.mp4", 99)], "name string, o int")
+
+    def plain(token):
+        token = (token or "").strip().lower()
+        stem = lambda x: x[: x.rindex(".")] if "." in x[1:] else x
+        if token:
+            for x in names:
+                if token in (x.lower(), stem(x.lower())):
+                    return x
+            for x in names:
+                if token in stem(x.lower()) or stem(x.lower()) in token:
+                    return x
+        return None
+
+    got = {r["k"]: r["name"] for r in match_contained(t, n, "token", "name", "o", stems=True).collect()}
+    assert got == {k: plain(x) for k, x in enumerate(tokens)}
+    exact = {r["k"]: r["name"] for r in match_contained(t, n, "token", "name", "o").collect()}
+    assert exact[0] == "the hall.mp4" and exact[8] == "x.mp4" and exact[1] is None and exact[6] is None
+    many = spark.createDataFrame([(f"take {k} of the very same scene",) for k in range(300)], "l string")
+    some = spark.createDataFrame([(f"{k} of the very",) for k in range(300)], "s string")
+    assert containing(some, many).count() == sum(f"{k} of the very" in f"take {j} of the very" for k in range(300) for j in range(300))
