@@ -59,3 +59,18 @@ def test_every_operator_has_one_query():
 @pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
 def test_query_like_its_sql(spark, name):
     assert differences(spark, SF, entries.queries()[name], entries.oracle_sql()[name]) == ""
+
+
+def test_only_what_the_result_reads_is_left(spark, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        out = pipeline.run(spark, SF)
+        read = {f.rsplit("/", 2)[-2] for f in out.inputFiles()}
+        assert spark.conf.get("spark.checkpoint.dir") == f"file://{tmp_path}"
+        left = {p.name for p in tmp_path.iterdir()}
+        # The last stage's pieces, which the result reads, and its input.
+        assert read <= left and len(left - read) <= 1
+        assert out.count() > 0
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
