@@ -6,6 +6,7 @@ takes repeated rows, null values in any column and empty tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,13 +88,30 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn on documents, each written as Parquet and read again; a
-    stage's table is deleted when the next one's has been written."""
-    shared_folder(spark)
+    """All stages in turn on documents, each written as Parquet and read again.  A
+    stage's tables in between stand in a folder of its own within the shared one,
+    which is deleted when its result has been written; so is that, when the next
+    stage's has.  What the last stage's result reads stays."""
+    place, last = shared_folder(spark), None
     docs, made = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-        drop(*made)
-        made = [docs]
-    return STAGES[-1][1](spark, docs, sf_dir)
+    own = f"{place}/{uuid.uuid4().hex}"
+    try:
+        for name, stage in STAGES[:-1]:
+            spark.conf.set("spark.checkpoint.dir", f"{own}/{name}")
+            result = stage(spark, docs, sf_dir)
+            spark.conf.set("spark.checkpoint.dir", place)
+            docs = cut(result)
+            drop(*made)
+            made = [docs]
+            _remove(spark, f"{own}/{name}")
+        _remove(spark, own)
+        last = STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", place)
+    return last
