@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,26 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="cuesmith-")
         spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
+    return "/".join([place.rstrip("/"), *_WITHIN])
+
+
+_WITHIN: list[str] = []
+
+
+@contextlib.contextmanager
+def tables_within(folder: str) -> Iterator[None]:
+    """Until the end, tables are cut to this folder of the shared one, so that its
+    owner can remove it with all that others left in it."""
+    _WITHIN.append(folder)
+    try:
+        yield
+    finally:
+        _WITHIN.pop()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,8 +58,7 @@ def drop(*tables: DataFrame) -> None:
     """Delete tables that cut made, once what was made from them has been cut too."""
     for df in tables:
         for file in df.inputFiles()[:1]:
-            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+            remove(df.sparkSession, file.rpartition("/")[0])
 
 
 def parts(spark: SparkSession) -> int:
