@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesmith.llm import jaccard, language, packing, quality, secret_scan
-from cuesmith.llm.shared import cut, drop, shared_folder
+from cuesmith.llm.shared import cut, drop, remove, shared_folder, tables_within
 
 #: A document is rejected by language ID if its language is unsure below this, or undetermined.
 LEAST_SCORE = 0.4
@@ -88,30 +88,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn on documents, each written as Parquet and read again.  A
     stage's tables in between stand in a folder of its own within the shared one,
     which is deleted when its result has been written; so is that, when the next
     stage's has.  What the last stage's result reads stays."""
-    place, last = shared_folder(spark), None
     docs, made = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
-    own = f"{place}/{uuid.uuid4().hex}"
-    try:
-        for name, stage in STAGES[:-1]:
-            spark.conf.set("spark.checkpoint.dir", f"{own}/{name}")
+    for name, stage in STAGES[:-1]:
+        own = f"{name}-{uuid.uuid4().hex}"
+        with tables_within(own):
             result = stage(spark, docs, sf_dir)
-            spark.conf.set("spark.checkpoint.dir", place)
-            docs = cut(result)
-            drop(*made)
-            made = [docs]
-            _remove(spark, f"{own}/{name}")
-        _remove(spark, own)
-        last = STAGES[-1][1](spark, docs, sf_dir)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", place)
-    return last
+        docs = cut(result)
+        remove(spark, f"{shared_folder(spark)}/{own}")
+        drop(*made)
+        made = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)
