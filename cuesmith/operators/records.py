@@ -195,10 +195,12 @@ def finalize(ledger: DataFrame, done: DataFrame, expected: tuple[str, ...]) -> D
     output.  Only leaders in an expected status change; their waiting followers
     take the outcome and output over."""
     ended = done.join(ledger.where(F.col("status").isin(*expected)).select("task_id"), "task_id", "left_semi")
-    out = ledger.join(ended.select("task_id", F.col("outcome").alias("_o"), F.col("output").alias("_p")), "task_id", "left")
-    out = out.join(ended.select(F.col("task_id").alias("leader_task_id"), F.col("outcome").alias("_lo"), F.col("output").alias("_lp")), "leader_task_id", "left")
-    follows = (F.col("status") == "waiting_dependency") & F.col("_lo").isNotNull()
-    return out.select("task_id", F.coalesce("_o", F.when(follows, F.col("_lo")), "status").alias("status"), F.coalesce("_p", F.when(follows, F.col("_lp")), "output_path").alias("output_path"))
+    own = ledger.join(ended.select("task_id", F.col("outcome").alias("_o"), F.col("output").alias("_p")), "task_id", "left")
+    # Only followers meet their leaders: rows without one would all be one task's, that of the null key.
+    follows = F.coalesce((F.col("status") == "waiting_dependency") & F.col("leader_task_id").isNotNull(), F.lit(False))
+    led = own.where(follows).join(ended.select(F.col("task_id").alias("leader_task_id"), F.col("outcome").alias("_lo"), F.col("output").alias("_lp")), "leader_task_id", "left")
+    met = led.select("task_id", F.coalesce("_o", "_lo", "status").alias("status"), F.when(F.col("_lo").isNull(), F.coalesce("_p", "output_path")).otherwise(F.coalesce("_p", "_lp", "output_path")).alias("output_path"))
+    return met.unionByName(own.where(~follows).select("task_id", F.coalesce("_o", "status").alias("status"), F.coalesce("_p", "output_path").alias("output_path")))
 
 
 def upsert_active(items: DataFrame, updates: DataFrame, key: str, at: str, now: Column, ttl: float) -> DataFrame:
@@ -231,7 +233,9 @@ def with_ids(rows: DataFrame, batch: str, order: str, pointer: str) -> DataFrame
     batch, leader_task_id (null if there is no such row)."""
     name = lambda c: F.substring(F.sha1(F.concat_ws("|", F.col(batch).cast("string"), F.col(c).cast("string"))), 1, 16)
     known = rows.select(batch, F.col(order).alias(pointer), name(order).alias("leader_task_id"))
-    return rows.withColumn("task_id", name(order)).join(known, [batch, pointer], "left")
+    named, points = rows.withColumn("task_id", name(order)), F.col(pointer).isNotNull()
+    met = named.where(points).join(known, [batch, pointer], "left")
+    return met.unionByName(named.where(~points).withColumn("leader_task_id", F.lit(None).cast("string")))  # rows of no pointer would all be one task's
 
 
 def update_columns(table: DataFrame, changes: DataFrame, key: str, allowed: tuple[str, ...]) -> DataFrame:
