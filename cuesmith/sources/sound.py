@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Bytes of one range, about.
-RANGE_BYTES = 32 << 20
+#: Bytes of one range, about, and of one task's files; what opening one counts for; rows given back at once.
+RANGE_BYTES, OPEN_BYTES, ROWS = 32 << 20, 64 << 10, 4096
 #: Decibels of a window of silence.
 SILENT = -96.0
 COLUMNS = [("path", pa.string()), ("rate", pa.int32()), ("samples", pa.int64()), ("width", pa.int64()), ("win", pa.int64()), ("n", pa.int64()), ("squares", pa.float64()), ("error", pa.string())]
@@ -55,9 +55,11 @@ def read_header(file: pa.NativeFile, size: int) -> Header:
     raise ValueError("no samples")
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, header: Header | None, first: int, last: int, error: str | None = None):
-        self.path, self.header, self.first, self.last, self.error = path, header, first, last, error
+class Pack(InputPartition):
+    """What one task reads: spans (path, size, first byte, byte after the last) of files."""
+
+    def __init__(self, spans: list[tuple[str, int, int, int]]):
+        self.spans = spans
 
 
 class WavSource(DataSource):
@@ -80,46 +82,68 @@ class _WavReader(DataSourceReader):
         self.path, self.seconds, self.windows = options["path"], float(options.get("seconds", 0) or 0), int(options.get("windows", 0) or 0)
         self.most = int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Pack]:
+        """Files by name and size, many small ones or a span of a long one to a task; the tasks read the headers."""
         fs, root = pafs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("/") else (pafs.LocalFileSystem(), self.path)
         info = fs.get_file_info(root)
         infos = [info] if info.type == pafs.FileType.File else [x for x in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if x.type == pafs.FileType.File and x.path.lower().endswith(".wav")]
-        out: list[Range] = []
-        for one in sorted(infos, key=lambda x: x.path):
-            try:
-                with fs.open_input_file(one.path) as file:
-                    header = read_header(file, one.size)
-            except (ValueError, OSError, struct.error) as e:
-                out.append(Range(one.path, None, 0, 0, str(e)))
-                continue
-            step = max(1, self.most // (2 * header.channels))
-            out += [Range(one.path, header, at, min(at + step, header.frames)) for at in range(0, max(1, header.frames), step)]
-        return out
+        out: list[Pack] = []
+        spans, cost = [], 0
+        for path, size in sorted((x.path, x.size) for x in infos):
+            for first in range(0, max(1, size), RANGE_BYTES):
+                last = min(size, first + RANGE_BYTES)
+                own = OPEN_BYTES * max(1, -(-(last - first) // self.most)) + last - first
+                if spans and cost + own > RANGE_BYTES:
+                    out.append(Pack(spans))
+                    spans, cost = [], 0
+                spans.append((path, size, first, last))
+                cost += own
+        return [*out, Pack(spans)] if spans else out
 
     def width(self, header: Header) -> int:
         return max(1, header.frames // self.windows) if self.windows else max(1, int(header.rate * self.seconds))
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        p, schema = partition, pa.schema(COLUMNS)
-        if p.header is None:
-            yield pa.RecordBatch.from_pylist([{"path": p.path, "error": p.error}], schema=schema)
-            return
+    def read(self, partition: Pack) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema(COLUMNS)
         fs = pafs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("/") else pafs.LocalFileSystem()
-        h = p.header
-        with fs.open_input_file(p.path) as file:
-            file.seek(h.start + p.first * 2 * h.channels)
-            pcm = np.frombuffer(file.read((p.last - p.first) * 2 * h.channels), "<i2")
-        mono = pcm.reshape(-1, h.channels).astype(np.float64).mean(1)
-        width = self.width(h)
-        at = (p.first + np.arange(len(mono))) // width
-        kept = at < self.windows if self.windows else np.ones(len(at), bool)
-        own, places = np.unique(at[kept], return_inverse=True)
-        sums, counts = np.bincount(places, mono[kept] ** 2), np.bincount(places)
-        if not len(own):  # a file without samples has its row
-            own, sums, counts = np.zeros(1, np.int64), np.zeros(1), np.zeros(1, np.int64)
-        k = len(own)
-        columns = [[p.path] * k, [h.rate] * k, [h.frames] * k, [width] * k, own, counts.astype(np.int64), sums.astype(float), [None] * k]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, COLUMNS, strict=True)], schema=schema)
+        rows: list[tuple] = []
+        for path, size, first, last in partition.spans:
+            try:
+                file = fs.open_input_file(path)
+                h = read_header(file, size)
+            except (ValueError, OSError, struct.error) as e:
+                if first == 0:
+                    rows.append((path, *[None] * (len(COLUMNS) - 2), str(e)))
+                continue
+            with file:
+                for own in self._sums(file, h, first, last):
+                    rows += [(path, h.rate, h.frames, self.width(h), *x, None) for x in zip(*own, strict=True)]
+                    while len(rows) >= ROWS:
+                        yield _batch(rows[:ROWS], schema)
+                        rows = rows[ROWS:]
+        if rows:
+            yield _batch(rows, schema)
+
+    def _sums(self, file: pa.NativeFile, h: Header, first: int, last: int) -> Iterator[tuple[list[int], list[int], list[float]]]:
+        """(windows, counts, sums of squares) of the frames that start in the span's
+        bytes, a range at a time; a file without samples has a row in its first span."""
+        size, width = 2 * h.channels, self.width(h)
+        begin, end = (min(h.frames, max(0, -(-(at - h.start) // size))) for at in (first, last))
+        if not h.frames and first == 0:
+            yield [0], [0], [0.0]
+        step = max(1, self.most // size)
+        for at in range(begin, end, step):
+            file.seek(h.start + at * size)
+            pcm = np.frombuffer(file.read((min(end, at + step) - at) * size), "<i2")
+            mono = pcm.reshape(-1, h.channels).astype(np.float64).mean(1)
+            window = (at + np.arange(len(mono))) // width
+            kept = window < self.windows if self.windows else np.ones(len(window), bool)
+            own, places = np.unique(window[kept], return_inverse=True)
+            yield own.tolist(), np.bincount(places).tolist(), np.bincount(places, mono[kept] ** 2).tolist()
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), COLUMNS, strict=True)], schema=schema)
 
 
 def _windows(spark: SparkSession, path: str, **options: object) -> DataFrame:
