@@ -74,7 +74,9 @@ def workbook_guards(spark, sf_dir):
         return key.map(lambda k: kinds[k % 4])
 
     content = F.pandas_udf(make, "binary")
-    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), content("c_custkey").alias("content"))
+    # A customer's few bytes become a file: the rows of one small input are many tasks' work.
+    keys = table(spark, sf_dir, "customer").select("c_custkey").repartition(4 * spark.sparkContext.defaultParallelism)
+    files = keys.select(F.col("c_custkey").cast("string").alias("path"), content("c_custkey").alias("content"))
     return spreadsheet.parse_workbooks(files).select("path", "error")
 
 

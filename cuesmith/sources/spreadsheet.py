@@ -12,7 +12,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,6 +24,8 @@ from ..functions.text import preview
 MOST_BYTES, MOST_ENTRIES = 20 << 20, 100
 MOST_UNPACKED, MOST_UNPACKED_EACH = 200 << 20, 64 << 20
 KIND = "row_number int, col string, value string"
+#: Cells of one batch that a task gives back.
+ROWS = 4096
 
 
 def guard(data: bytes, most_bytes: int = MOST_BYTES) -> zipfile.ZipFile:
@@ -108,16 +110,27 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
 def parse_workbooks(files: DataFrame) -> DataFrame:
     """As read_workbooks, of files that are rows (path, content)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "row_number", "col", "value", "error"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    rows = [(name, *c, None) for c in cells(data)]
+                    own = [(name.as_py(), *c, None) for c in cells(data.as_py())]
                 except (ValueError, ElementTree.ParseError) as e:
-                    rows = [(name, None, None, None, str(e))]
-                yield pd.DataFrame(rows, columns=["path", "row_number", "col", "value", "error"]).astype({"row_number": "Int32"})
-
-    return files.select("path", "content").mapInPandas(run, f"path string, {KIND}, error string")
+                    own = [(name.as_py(), None, None, None, str(e))]
+                rows += own
+                if len(rows) >= ROWS:  # many small files make one batch
+                    yield batch_of(rows)
+                    rows = []
+        if rows:
+            yield batch_of(rows)
+
+    return files.select("path", "content").mapInArrow(run, f"path string, {KIND}, error string")
 
 
 def task_rows(cells_: DataFrame, files: DataFrame | None = None) -> DataFrame:
