@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -95,7 +96,8 @@ class _Active(StatefulProcessor):
         self.last = handle.getValueState("last", StructType([StructField("ms", DoubleType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = sorted({float(pd.Timestamp(x).value // 1_000_000) for part in rows for x in part["at"]})
+        parts = [part["at"].to_numpy().astype("datetime64[ms]").astype("int64") for part in rows]
+        times = np.unique(np.concatenate(parts)).astype(float).tolist() if parts else []
         was = last = self.last.get()[0] if self.last.exists() else None
         told: list[tuple[float, str]] = []
         for t in times:
@@ -107,19 +109,19 @@ class _Active(StatefulProcessor):
                 self.handle.deleteTimer(int(was) + self.ttl_ms)
             self.last.update((last,))
             self.handle.registerTimer(int(last) + self.ttl_ms)
-        for t, event in told:
-            yield self._row(key, t, event)
+        if told:
+            yield self._rows(key, told)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0]
         self.last.clear()
-        yield self._row(key, last, "expired")
+        yield self._rows(key, [(last, "expired")])
 
     def close(self) -> None:
         pass
 
-    def _row(self, key, ms: float, event: str) -> pd.DataFrame:
-        return pd.DataFrame({"id": [str(key[0])], "last_active": [ms / 1000], "event": [event]})
+    def _rows(self, key, told: list[tuple[float, str]]) -> pd.DataFrame:
+        return pd.DataFrame({"id": [str(key[0])] * len(told), "last_active": [t / 1000 for t, _ in told], "event": [event for _, event in told]})
 
 
 def expiries(items: DataFrame, key: str, at: str, ttl: float = 12 * 3600.0, late: str = "1 minute") -> DataFrame:
